@@ -7,16 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from . import token_files
+from .storage import new_path, table
+from .token_fst import count_tokens
 from .topk import top_k
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, byte_bpe())
+    return token_files.digests(token_files.read_tokens(spark, path))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op3_token_counts": op3_token_counts,
     "op10_maxscore_topk": op10_maxscore_topk,
 }
 
