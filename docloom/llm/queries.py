@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import token_files
+from .packing import pack
 from .storage import new_path, table
 from .token_fst import count_tokens
 from .topk import top_k
@@ -29,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -37,6 +42,7 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
+    "op9_mixture_packing": op9_mixture_packing,
     "op10_maxscore_topk": op10_maxscore_topk,
 }
 
