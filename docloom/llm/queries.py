@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import token_files
+from .jaccard import jaccard_components
 from .packing import pack
 from .storage import new_path, table
 from .token_fst import count_tokens
@@ -30,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -42,11 +47,27 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_maxscore_topk": op10_maxscore_topk,
 }
 
+#: Words as op6 and op8 take them; only A-Z are lower-cased.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op8_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+             s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+             n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+             e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+             o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+             l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b
+                   WHERE 100 * o.c >= 90 * (x.n_shingles + y.n_shingles - o.c)),
+             r AS (SELECT doc_id AS d, doc_id AS to_id FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON r.to_id = l.a)
+        SELECT n.doc_id, n.n_shingles, m.component_id FROM n JOIN (SELECT d, min(to_id) AS component_id FROM r GROUP BY d) m ON m.d = n.doc_id
+    """,
     "op10_maxscore_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                    FROM embeddings
