@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import token_files
 from .jaccard import jaccard_components
+from .lm import score_documents
 from .packing import pack
 from .storage import new_path, table
 from .token_fst import count_tokens
@@ -31,6 +32,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def _crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, docs.where(_crc_mod(7) != 2))
+    return scored.select("doc_id", (_crc_mod(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
@@ -47,6 +58,7 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
+    "op6_lm_scores": op6_lm_scores,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_maxscore_topk": op10_maxscore_topk,
