@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_files
+from . import language_id, secret_scan, token_files
 from .jaccard import jaccard_components
 from .lm import score_documents
 from .packing import pack
@@ -22,6 +22,16 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def tiktoken_vocabulary() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents"), *tiktoken_vocabulary()))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, byte_bpe())
@@ -36,6 +46,17 @@ def _crc_mod(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def learned_language_model(docs: DataFrame) -> language_id.Model:
+    """From texts whose crc32(doc_id) mod 3 isn't 1; the others are held out."""
+    return language_id.learn(docs.where(_crc_mod(3) != 1))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, learned_language_model(docs))
+    return found.select("doc_id", (_crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, docs.where(_crc_mod(7) != 2))
@@ -56,8 +77,10 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
+    "op4_language_id": op4_language_id,
     "op6_lm_scores": op6_lm_scores,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixture_packing": op9_mixture_packing,
