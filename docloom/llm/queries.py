@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, secret_scan, token_files
+from . import chat, language_id, secret_scan, token_files
 from .jaccard import jaccard_components
 from .lm import score_documents
 from .packing import pack
-from .storage import new_path, table
+from .storage import materialize, new_path, table
 from .token_fst import count_tokens
 from .topk import top_k
 
@@ -57,6 +57,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -7L AS conv_id, t AS turn, r AS role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    written = materialize(chat.render(chat.fold(chat.conversations_as_events(rows))), "chats")
+    return chat.digest(chat.read_back(written))
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, docs.where(_crc_mod(7) != 2))
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
+    "op5_chat_format": op5_chat_format,
     "op6_lm_scores": op6_lm_scores,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixture_packing": op9_mixture_packing,
@@ -90,7 +99,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Words as op6 and op8 take them; only A-Z are lower-cased.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+_CONTROL = "|".join("".join("\\" + c if c in "|[]<>/" else c for c in s[1:]) for s in chat.CONTROL)
+_ESCAPED = f"regexp_replace(replace(coalesce(text, ''), '\\', '\\\\'), '([<\\[])({_CONTROL})', '\\1\\\\\\2', 'g')"
+
 ORACLES: dict[str, str] = {
+    "op5_chat_format": f"""
+        WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+             t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, {_ESCAPED} AS escaped FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(role) + length(escaped) + {len(chat.OPEN) + len(chat.NEXT) + len(chat.CLOSE) + 1}) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
     "op8_ngram_jaccard": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
              s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
