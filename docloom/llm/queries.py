@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, language_id, secret_scan, token_files
+from .decontam import find_quotes
 from .jaccard import jaccard_components
 from .lm import score_documents
 from .packing import pack
@@ -71,6 +72,10 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_crc_mod(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_benchmark_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_quotes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_chat_format": op5_chat_format,
     "op6_lm_scores": op6_lm_scores,
+    "op7_benchmark_quotes": op7_benchmark_quotes,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_maxscore_topk": op10_maxscore_topk,
