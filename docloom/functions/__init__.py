@@ -1 +1 @@
-"""."""
+"""Rules as SQL expressions, and their columns."""

@@ -1,4 +1,25 @@
 """Queries over the driver's tables, one for each operator, and their SQL for another engine."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docloom.functions.dialect import DUCK, SPARK
+from docloom.plans import sql
+
+TABLES = ("documents", "pages", "conversations", "labels", "nation")
+
+
+def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in TABLES:  # the plan is resolved at once, so a later call may set the views anew
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        return spark.sql(text)
+
+    return query
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(make(SPARK)) for name, make in sql.SQL.items()}
+ORACLES: dict[str, str] = {name: make(DUCK) for name, make in sql.SQL.items()}
