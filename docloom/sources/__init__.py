@@ -1 +1 @@
-"""."""
+"""Files as rows: listing, format readers and conversion."""

@@ -1 +1 @@
-"""."""
+"""Landing folders as streams."""
