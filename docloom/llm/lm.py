@@ -26,7 +26,7 @@ from .vectext import Words, mix, steps
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Quantisation base, hash functions, bits for each held level, largest filter in bits, words in the frequent table.
-BASE, HASHES, BITS, MOST_BITS, FREQUENT = 1.5, 4, 10, 1 << 28, 1 << 20
+BASE, HASHES, BITS, MOST_BITS, FREQUENT = 1.5, 4, 10, 1 << 28, 1 << 19
 #: Text bytes of a counting range, entries after which a task passes its counts on, weight of a context's continuation.
 RANGE_BYTES, FLUSH, PRIOR = 16 << 20, 4 << 20, 8.0
 _PAIR, _LEVEL, _HASH = np.uint64(0x2545F4914F6CDD1D), 0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F
@@ -164,15 +164,16 @@ def score_documents(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id"
     counts = materialize(train.mapInArrow(words_of, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
     by_level = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("l")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()
     n_train, n_words = sum(r.n for r in by_level), sum(r.v for r in by_level)
-    held, least = 0, 64
+    held, least = 0, 62  # none is that frequent
     for r in sorted(by_level, key=lambda r: -r.l):
         if held + r.v > frequent:
             break
         held, least = held + r.v, r.l
-    table = counts.where(F.col("c") >= F.lit(1 << least)).orderBy("h").toPandas() if held else None
-    known = (table["h"].to_numpy(np.int64), table["c"].to_numpy(np.int64)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order = np.argsort(known[0].astype(np.uint64))
-    frequent_sent = spark.sparkContext.broadcast((known[0].astype(np.uint64)[order], known[1][order]))
+    table = counts.where(F.col("c") >= F.lit(1 << least)).toArrow()  # at most `frequent` rows
+    known = table["h"].to_numpy().astype(np.uint64), table["c"].to_numpy()
+    order = np.argsort(known[0])
+    frequent_sent = spark.sparkContext.broadcast((known[0][order], known[1][order]))
+    del table, known, order
 
     size = train.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_ranges = max(16, -(-size // range_bytes))
@@ -241,9 +242,10 @@ def score_documents(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([Filter.block(key[keep], level[keep], block_bits)], pa.binary())], ["r", "bits"])
 
     bits = np.zeros(n_ranges * block_bits // 8, np.uint8)
-    for row in grams.select("r", "blob").mapInArrow(build, "r int, bits binary").toLocalIterator():
-        at = row.r * block_bits // 8
-        bits[at : at + block_bits // 8] = np.frombuffer(row.bits, np.uint8)
+    blocks = grams.select("r", "blob").mapInArrow(build, "r int, bits binary").toArrow()  # at most most_bits, and some slack
+    for r, block in zip(blocks["r"].to_pylist(), blocks["bits"], strict=True):
+        bits[r * block_bits // 8 : (r + 1) * block_bits // 8] = np.frombuffer(block.as_buffer(), np.uint8)
+    del blocks
     filter_sent = spark.sparkContext.broadcast(bits)
     space = float(n_train + n_words + 1)
 
