@@ -260,7 +260,7 @@ def score_documents(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id"
             there = words[place] == key if len(words) else np.zeros(len(key), bool)
             c = np.where(there, exact[place], 0) if len(words) else np.zeros(len(key), np.int64)
             known = there[back]
-            base = np.bincount(text[known], weights=np.log10((c + 1) / space)[back][known], minlength=n)
+            base = np.bincount(text[known], weights=np.log10((c + 1) / space)[back][known], minlength=n).astype(float)
             n_known = np.bincount(text[known], minlength=n)
             # the other words, once for each text that holds them
             rare_text, rare_at = text[~known], back[~known]
