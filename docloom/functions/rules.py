@@ -218,18 +218,25 @@ def subtitle(d, l):
     return f"({d.bytes(l)} BETWEEN 8 AND 100 AND {d.has(l, '^[(]')} AND NOT {d.has(l, '[.]$')})"
 
 
-def block_kind(d, l):
-    """The block a paragraph makes, but for roster lines, which need the heading before them."""
-    return (
-        f"CASE WHEN {page_marker(d, l)} THEN 'marker' WHEN {toc_entry(d, l)} IS NOT NULL THEN 'toc' WHEN {bullet(d, l)} IS NOT NULL THEN 'bullet' "
-        f"WHEN {numbered(d, l)} IS NOT NULL THEN 'numbered' WHEN {heading_level(d, l)} IS NOT NULL THEN 'heading' WHEN {subtitle(d, l)} THEN 'subtitle' ELSE 'paragraph' END"
+def blocks(d, source, l="line"):
+    """source with toc, bullet, numbered, level, title and kind of its trimmed lines, each worked out once.
+
+    The kind leaves out roster lines, which need the heading before them.
+    """
+    one = f"(SELECT *, {page_marker(d, l)} AS marker, {toc_entry(d, l)} AS toc, {bullet(d, l)} AS bullet, {numbered(d, l)} AS numbered, {heading_level(d, l)} AS level, {subtitle(d, l)} AS subtitle FROM {source})"
+    two = f"(SELECT *, CASE WHEN {d.get(l, '^(#{1,6})[^#]')} <> '' THEN {trim(d, d.get(l, '^#{1,6}(.*)$'))} ELSE {l} END AS title FROM {one} AS b1)"
+    kind = (
+        "CASE WHEN marker THEN 'marker' WHEN toc IS NOT NULL THEN 'toc' WHEN bullet IS NOT NULL THEN 'bullet' WHEN numbered IS NOT NULL THEN 'numbered' "
+        "WHEN level IS NOT NULL THEN 'heading' WHEN subtitle THEN 'subtitle' ELSE 'paragraph' END"
     )
+    return f"(SELECT *, {kind} AS kind FROM {two} AS b2)"
 
 
-def block_markdown(d, l, kind):
+def block_markdown(d, l="line"):
+    """Over a blocks source: the line as Markdown."""
     return (
-        f"CASE {kind} WHEN 'toc' THEN concat('- ', {toc_entry(d, l)}) WHEN 'bullet' THEN concat('- ', {bullet(d, l)}) WHEN 'numbered' THEN concat('1. ', {numbered(d, l)}) "
-        f"WHEN 'heading' THEN concat(repeat('#', {heading_level(d, l)}), ' ', {heading_title(d, l)}) WHEN 'subtitle' THEN concat('## ', {l}) WHEN 'roster' THEN concat('- ', {l}) WHEN 'paragraph' THEN {l} END"
+        f"CASE kind WHEN 'toc' THEN concat('- ', toc) WHEN 'bullet' THEN concat('- ', bullet) WHEN 'numbered' THEN concat('1. ', numbered) "
+        f"WHEN 'heading' THEN concat(repeat('#', CAST(level AS INT)), ' ', title) WHEN 'subtitle' THEN concat('## ', {l}) WHEN 'paragraph' THEN {l} END"
     )
 
 
@@ -242,15 +249,6 @@ def title_lines(d, x):
     return d.slice(d.keep(d.each(lines(d, x), "l", trim(d, "l")), "l", "l <> ''"), 1, 8)
 
 
-def document_title(d, x):
-    """The page's first line where it reads as the document's title; word breaks are not repaired here."""
-    ls = title_lines(d, x)
-    first = f"coalesce({'try_element_at(' + ls + ', 1)' if d.name == 'spark' else '(' + ls + ')[1]'}, '')"
-    inside = f"contains(l, {first})"
-    again = d.size(d.keep(ls, "l", f"lower(l) = lower({first}) OR {inside}"))
-    return f"CASE WHEN {d.bytes(first)} BETWEEN 12 AND 120 AND NOT {d.has(first, '[.]$')} AND ({again} >= 2 OR ({d.size(ls)} <= 4 AND {title_case_ratio(d, first)} > 0.5)) THEN {first} END"
-
-
 def strip_title_blocks(d, body, title):
     b, t = f"lower({trim(d, 'b')})", f"lower({title})"
     return d.join(d.keep(d.split(body, "\n\n"), "b", f"{trim(d, 'b')} <> '' AND NOT contains({t}, {b}) AND NOT contains({b}, {t})"), "\n\n")

@@ -60,9 +60,9 @@ def mojibake(d):
 
 
 def files(d):
-    """One file a document: a name that repeats, a size around the limit, an extension in turn."""
+    """One file a document, so many a job as one takes: a name that repeats, a size around the limit, an extension in turn."""
     ext = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {d.lit('.' + e if e else '')}" for i, e in enumerate(ROUTED_EXT)) + " END"
-    return f"(SELECT doc_id AS file_seq, concat(source, ' Report_', CAST(doc_id % 3 AS STRING), {ext}) AS source_file, n_chars * 8192 AS bytes, text FROM documents)"
+    return f"(SELECT doc_id AS file_seq, CAST(floor(doc_id / {R.MAX_FILES}.0) AS BIGINT) AS job, concat(source, ' Report_', CAST(doc_id % 3 AS STRING), {ext}) AS source_file, n_chars * 8192 AS bytes, text FROM documents)"
 
 
 def checked(d):
@@ -78,7 +78,7 @@ def checked(d):
 def named(d):
     """Checked files with the output names of those that are exported."""
     base = f"concat({R.slug(d, 'source_file')}, '-', ext)"
-    n = f"row_number() OVER (PARTITION BY {base}, status IN ('good', 'partial') ORDER BY file_seq)"
+    n = f"row_number() OVER (PARTITION BY job, {base}, status IN ('good', 'partial') ORDER BY file_seq)"
     name = R.output_name(d, base, n)
     return f"(SELECT *, CASE WHEN status IN ('good', 'partial') THEN concat('documents/', {name}) END AS output_file FROM {checked(d)} AS f4)"
 
@@ -282,16 +282,15 @@ def paragraph_groups(d):
 
 
 def block_kinds(d):
-    return f"SELECT doc_id, pos, {R.block_kind(d, 'line')} AS kind FROM {listy(d)} AS q WHERE line <> ''"
+    return f"SELECT doc_id, pos, kind FROM {R.blocks(d, f'{listy(d)} AS q')} AS k WHERE line <> ''"
 
 
 def block_separators(d):
     """Lines as blocks, put together with the separators that the neighbouring kinds ask for."""
-    kinds = f"(SELECT doc_id, pos, line, {R.block_kind(d, 'line')} AS kind FROM {listy(d)} AS q WHERE line <> '')"
-    kept = f"(SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM {kinds} AS k WHERE kind <> 'marker')"
+    kept = f"(SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM {R.blocks(d, f'{listy(d)} AS q')} AS k WHERE line <> '' AND kind <> 'marker')"
     items = "('bullet', 'numbered', 'toc')"
     sep = f"CASE WHEN before IS NULL THEN '' WHEN before IN {items} AND kind IN {items} THEN {d.lit(chr(10))} ELSE {d.lit(chr(10) * 2)} END"
-    pieces = f"(SELECT doc_id, pos, concat({sep}, {R.block_markdown(d, 'line', 'kind')}) AS piece FROM {kept} AS b)"
+    pieces = f"(SELECT doc_id, pos, concat({sep}, {R.block_markdown(d)}) AS piece FROM {kept} AS b)"
     return f"SELECT doc_id, {d.ordered('piece', 'pos', '')} AS markdown FROM {pieces} AS p GROUP BY doc_id"
 
 
@@ -304,14 +303,23 @@ def _titled(d):
     return f"(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat({title}, {d.lit(chr(10))}, {title}, {d.lit(chr(10) * 2)}, text) ELSE text END AS text FROM documents)"
 
 
+def _with_title(d):
+    lines = f"(SELECT doc_id, text, {R.title_lines(d, 'text')} AS ls FROM {_titled(d)} AS t0)"
+    first = "coalesce(try_element_at(ls, 1), '')" if d.name == "spark" else "coalesce(ls[1], '')"
+    first = f"(SELECT *, {first} AS first_line FROM {lines} AS t1)"
+    again = d.size(d.keep("ls", "l", "lower(l) = lower(first_line) OR contains(l, first_line)"))
+    counted = f"(SELECT *, {again} AS again, {R.title_case_ratio(d, 'first_line')} AS titled FROM {first} AS t2)"
+    fits = f"{d.bytes('first_line')} BETWEEN 12 AND 120 AND NOT {d.has('first_line', '[.]$')} AND (again >= 2 OR ({d.size('ls')} <= 4 AND titled > 0.5))"
+    return f"(SELECT doc_id, text, first_line AS title FROM {counted} AS t3 WHERE {fits})"
+
+
 def document_title(d):
-    return f"SELECT doc_id, title FROM (SELECT doc_id, {R.document_title(d, 'text')} AS title FROM {_titled(d)} AS t0) AS t WHERE title IS NOT NULL"
+    return f"SELECT doc_id, title FROM {_with_title(d)} AS t"
 
 
 def strip_title_blocks(d):
     body = f"replace(text, {d.lit(chr(10))}, {d.lit(chr(10) * 2)})"
-    inner = f"(SELECT doc_id, {body} AS body, {R.document_title(d, 'text')} AS title FROM {_titled(d)} AS t0)"
-    return f"SELECT doc_id, {R.strip_title_blocks(d, 'body', 'title')} AS body FROM {inner} AS t WHERE title IS NOT NULL"
+    return f"SELECT doc_id, {R.strip_title_blocks(d, body, 'title')} AS body FROM {_with_title(d)} AS t"
 
 
 def _repeated(d):
@@ -356,7 +364,7 @@ def size_limit(d):
 
 
 def batch_limit(d):
-    return f"SELECT count(*) AS files, count(*) > {R.MAX_FILES} AS rejected FROM {files(d)} AS f"
+    return f"SELECT job, count(*) AS files, count(*) > {R.MAX_FILES - 1} AS rejected FROM {files(d)} AS f GROUP BY job"
 
 
 def validate_files(d):
@@ -390,7 +398,7 @@ def user_messages(d):
 
 def _summary(d, source):
     n = lambda s: f"CAST(sum(CASE WHEN status = '{s}' THEN 1 ELSE 0 END) AS BIGINT)"
-    return f"(SELECT count(*) AS total_files, {n('good')} AS converted, {n('partial')} AS partial, {n('failed')} AS failed, {n('unsupported')} AS unsupported FROM {source})"
+    return f"(SELECT job, count(*) AS total_files, {n('good')} AS converted, {n('partial')} AS partial, {n('failed')} AS failed, {n('unsupported')} AS unsupported FROM {source} GROUP BY job)"
 
 
 def job_summary(d):
@@ -398,9 +406,7 @@ def job_summary(d):
 
 
 def job_status(d):
-    per = f"(SELECT *, file_seq % 40 AS job FROM {checked(d)} AS c)"
-    counts = f"(SELECT job, count(*) AS total, CAST(sum(CASE WHEN status = 'partial' THEN 1 ELSE 0 END) AS BIGINT) AS partial, CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM {per} AS p GROUP BY job)"
-    return f"SELECT job, {R.job_status(d, 'total', 'partial', 'failed')} AS status FROM {counts} AS n"
+    return f"SELECT job, {R.job_status(d, 'total_files', 'partial', 'failed')} AS status FROM {_summary(d, f'{checked(d)} AS c')} AS n"
 
 
 def exit_code(d):
@@ -409,7 +415,7 @@ def exit_code(d):
 
 def index_md(d):
     line = "concat('- [', source_file, '](', output_file, ')')"
-    return f"SELECT concat({d.lit('# Export Index' + chr(10) * 2)}, {d.ordered(line, 'file_seq', chr(10))}, {d.lit(chr(10))}) AS markdown FROM {named(d)} AS n WHERE output_file IS NOT NULL"
+    return f"SELECT job, concat({d.lit('# Export Index' + chr(10) * 2)}, {d.ordered(line, 'file_seq', chr(10))}, {d.lit(chr(10))}) AS markdown FROM {named(d)} AS n WHERE output_file IS NOT NULL GROUP BY job"
 
 
 def conversion_report(d):
@@ -417,7 +423,7 @@ def conversion_report(d):
     error = "CASE WHEN error_code IS NULL THEN '—' ELSE error_code END"
     line = f"concat('| ', source_file, ' | ', {shown}, ' | ', {error}, ' | ', coalesce({R.message(d, 'error_code', 'warning')}, '—'), ' |')"
     head = "# Conversion Report\n\n| File | Status | Error | Message |\n|------|--------|-------|--------|\n"
-    return f"SELECT concat({d.lit(head)}, {d.ordered(line, 'file_seq', chr(10))}, {d.lit(chr(10))}) AS markdown FROM {named(d)} AS n"
+    return f"SELECT job, concat({d.lit(head)}, {d.ordered(line, 'file_seq', chr(10))}, {d.lit(chr(10))}) AS markdown FROM {named(d)} AS n GROUP BY job"
 
 
 def manifest_rows(d):
@@ -437,11 +443,11 @@ def manifest_json(d):
 def job_result_json(d):
     s = _summary(d, f"{checked(d)} AS c")
     job = R.job_status(d, "total_files", "partial", "failed")
-    return f"SELECT {_json(d, [('status', job), ('exit_code', R.exit_code(d, f'({job})')), *((c, c) for c in ('total_files', 'converted', 'partial', 'failed', 'unsupported'))])} AS result FROM {s} AS s"
+    return f"SELECT job, {_json(d, [('status', job), ('exit_code', R.exit_code(d, f'({job})')), *((c, c) for c in ('total_files', 'converted', 'partial', 'failed', 'unsupported'))])} AS result FROM {s} AS s"
 
 
 def input_label(d):
-    return f"SELECT ext, {d.ordered('source_file', 'file_seq', ', ')} AS label FROM {checked(d)} AS c WHERE file_seq < 40 GROUP BY ext"
+    return f"SELECT job, {d.ordered('source_file', 'file_seq', ', ')} AS label FROM {checked(d)} AS c GROUP BY job"
 
 
 def before_after_metric(d):
@@ -458,7 +464,7 @@ def client_validation(d):
 
 
 def progress_percent(d):
-    return f"SELECT file_seq, {long('round(100.0 * row_number() OVER (ORDER BY file_seq) / count(*) OVER ())', 'percent')} FROM {files(d)} AS f"
+    return f"SELECT file_seq, {long('round(100.0 * row_number() OVER (PARTITION BY job ORDER BY file_seq) / count(*) OVER (PARTITION BY job))', 'percent')} FROM {files(d)} AS f"
 
 
 def big_endian_offset(d):
