@@ -30,8 +30,8 @@ from .vectext import PreTokens, steps
 
 #: Code points of a chunk.
 CHUNK = 1 << 16
-#: Distinct pre-tokens whose counts a worker keeps, and states of the machine; beyond it they start afresh.
-MEMORY, STATES = 1_500_000, 1_000_000
+#: Distinct pre-tokens whose counts a worker keeps, states of the machine (about 1 KB each) and token pairs tried; beyond it they start afresh.
+MEMORY, STATES, PAIRS = 1_500_000, 400_000, 1_000_000
 _SYNC = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -148,6 +148,8 @@ class Counter:
             self.memo.clear()
         if len(self.machine.states) > STATES:
             self.machine.reset()
+        if len(self.machine.pairs) > PAIRS:
+            self.machine.pairs.clear()
         _, there = self.memo.find(key)
         if not there.all():
             new = first[~there]
