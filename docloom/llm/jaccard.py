@@ -34,8 +34,8 @@ from .vectext import Words, mix, shingles, steps
 
 #: Documents of the sample, and how many of them make a shingle or a signature frequent.
 SAMPLE, HOT = 4096, 8
-#: Shingles in one block of a cluster.
-BLOCK = 1 << 20
+#: Shingles in one block of a cluster, and bits of the bitmap of cluster members (8 MB).
+BLOCK, BITMAP = 1 << 20, 1 << 26
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -322,7 +322,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
     placed = members.drop("n").join(sizes.drop("n"), "cluster")
     spread = F.when((F.col("doc_id") == F.col("pivot")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     placed = placed.withColumn("block", F.explode(spread))
-    source = rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    source = _likely(rows, members).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     keyed = materialize(source.dropDuplicates(["doc_id", "text"]), "member-texts")
     work = placed.join(keyed, "doc_id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "doc_id")
 
@@ -343,6 +343,31 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
     return each.join(by_class, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows whose id may be a member's, told by a bitmap of fixed size: other texts need not be shuffled.
+
+    Where members are so many that the bitmap fills up, more rows pass, and the join after it decides all the same.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1
+    bitmap = members.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toArrow()
+    held = {int(b): np.frombuffer(bits.as_buffer(), np.uint8) for b, bits in zip(bitmap["b"].to_pylist(), bitmap["bits"], strict=True)}
+    sent = rows.sparkSession.sparkContext.broadcast(held)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, bit = batch.column("b").to_numpy(), batch.column("p").to_numpy()
+            there = np.zeros(batch.num_rows, bool)
+            for b in np.unique(bucket).tolist():
+                if b in sent.value:
+                    some = bucket == b
+                    there[some] = sent.value[b][bit[some] >> 3] >> (bit[some] & 7) & 1 == 1
+            if there.any():
+                yield batch.filter(pa.array(there)).select(["doc_id", "text"])
+
+    marked = rows.withColumns({"b": F.bitmap_bucket_number(place), "p": F.bitmap_bit_position(place)})
+    return marked.mapInArrow(keep, "doc_id long, text string")
+
+
 def _across(found: DataFrame, alone: DataFrame, texts: DataFrame, rule: Rule, size: int, block: int) -> DataFrame:
     """Labels of all blocks' members once the documents outside the pivots' components were searched in every block."""
     queries = alone.groupBy("cluster").agg(F.count("*").alias("q")).withColumn("turns", F.ceil(F.col("q") / 1024).cast("int")).drop("q")
