@@ -5,8 +5,9 @@
    are dealt to numbered parts by hash, so at most H parts differ. A set signs its first H + 1 non-empty
    parts; two linked sets share a signature. Very frequent shingles (told by a bounded sample, which
    changes the speed and nothing else) are left out, as that only shrinks the difference; a set that
-   then has too few parts signs all its parts as they are with all shingles, too. Sets with a common
-   signature go to the same cluster.
+   then has too few parts signs all its parts as they are with all shingles, too. Of the sets with a
+   common signature, those go to one cluster that a bitmap of their shingles' parities lets pass: it
+   differs in at most as many bits as the sets do in shingles.
 3. T-occurrence search within a cluster: an inverted index of its sets; for a query set, the short lists
    are merged and counted, the long ones are probed by binary search for what is still within reach
    (DivideSkip), and sets that reach the required overlap are linked. Clusters beyond a bound are cut
@@ -199,6 +200,44 @@ def block_labels(ids: list[int], sets: list[np.ndarray], rule: Rule) -> list[int
     return [ids[root(i)] for i in range(len(ids))]
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """A bit for each residue of the shingles, odd or even; as many bits as shingles, a power of two from 64 on."""
+    bits = 1 << max(6, int(len(members) - 1).bit_length())
+    return np.packbits(np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _aligned(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of words, folded to the shortest one's length."""
+    least = min(map(len, sketches))
+    out = []
+    for s in sketches:
+        row = np.frombuffer(s, np.uint64)
+        while len(row) * 8 > least:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out.append(row)
+    return np.stack(out)
+
+
+def near(rule: Rule, size: int, bits: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of the rows may link with a set of this size and sketch: sizes fit and few enough bits differ."""
+    differ = np.bitwise_count(table ^ bits).sum(1)
+    return (sizes >= rule.least(size)) & (rule.least(sizes) <= size) & (differ * (rule.num + rule.den) <= (sizes + size) * (rule.den - rule.num))
+
+
+def likely_edges(nodes: np.ndarray, sizes: np.ndarray, table: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may link: every one that is reached is held against all that are not."""
+    edges, left = [], np.arange(len(nodes))
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            q = front.pop()
+            hit = near(rule, int(sizes[q]), table[q], sizes[left], table[left])
+            edges += [(int(nodes[q]), int(nodes[x])) for x in left[hit]]
+            front += left[hit].tolist()
+            left = left[~hit]
+    return edges
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
     text, value = shingles(Words(batch.column("text")), size, batch.num_rows)
     return np.split(value, np.searchsorted(text, np.arange(1, batch.num_rows)))
@@ -236,10 +275,12 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
             sets = _sets(batch, size)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             node = pa.array([int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), node], ["doc_id", "n_shingles", "key", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), node, pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "key", "node", "sketch"])
 
-    each = materialize(rows.mapInArrow(digest, "doc_id long, n_shingles long, key binary, node long"), "shingle-sets")
-    classes = materialize(each.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n_shingles").alias("n")), "classes")
+    each = materialize(rows.mapInArrow(digest, "doc_id long, n_shingles long, key binary, node long, sketch binary"), "shingle-sets")
+    first = (F.first(c).alias(to) for c, to in (("node", "node"), ("n_shingles", "n"), ("sketch", "sketch")))
+    classes = materialize(each.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), *first), "classes")
+    each = each.drop("sketch")
 
     # What is frequent, told by a sample of bounded size (below twice `sample` ids, so they can be broadcast): only the speed depends on it.
     n_classes = classes.count()
@@ -284,39 +325,69 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
             yield pa.RecordBatch.from_arrays([pa.array(sig[rest]), pa.array(owner[rest]), pa.array(np.full(int(rest.sum()), None), pa.int64())], ["sig", "node", "pivot"])
 
     out = "sig long, node long, pivot long"
-    common = picked.mapInArrow(signed, out).groupBy("sig").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where(F.col("c") >= HOT).orderBy("sig").collect()
-    pivots = spark.sparkContext.broadcast((np.array([r.sig for r in common], np.int64), np.array([r.pivot for r in common], np.int64)))
+    known_sets = classes.select("node", "n", "sketch").dropDuplicates(["node"])
+    common = picked.mapInArrow(signed, out).join(F.broadcast(classes.join(F.broadcast(chosen.withColumnRenamed("doc_id", "rep")), "rep").select("node", "n", "sketch")), "node")
+    common = common.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "n", "sketch"))).alias("rows")).where(F.size("rows") >= HOT).orderBy("sig").collect()
+    # A frequent signature whose sets are near copies of the first ties all its sets to that one, right where they are signed.
+    tied = []
+    for r in common:
+        table, sizes = _aligned([bytes(x.sketch) for x in r.rows]), np.array([x.n for x in r.rows], np.int64)
+        if near(rule, int(sizes[0]), table[0], sizes, table).mean() >= 0.9:
+            tied.append((r.sig, r.rows[0].node))
+    pivots = spark.sparkContext.broadcast((np.array([x for x, _ in tied], np.int64), np.array([x for _, x in tied], np.int64)))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by signature: each node is tied to the first of its run. Rows with a pivot pass as they are."""
-        last, first = None, 0
+        """Rows sorted by signature: those whose signature is another node's, too. Rows with a pivot pass as they are."""
+        last = None  # the last row so far, and whether it was given out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, pivot = batch.column("node").to_numpy(), batch.column("pivot")
-            tied = pivot.is_valid().to_numpy(zero_copy_only=False)
-            a = [pivot.filter(pa.array(tied)).to_numpy().astype(np.int64)]
-            b = [node[tied]]
-            sig, node = batch.column("sig").filter(pa.array(~tied)).to_numpy().astype(np.int64), node[~tied]
-            if len(sig):
-                begin = np.ones(len(sig), bool)
-                begin[1:] = sig[1:] != sig[:-1]
-                begin[0] = last is None or sig[0] != last
-                run = np.cumsum(begin)
-                heads = np.concatenate([[first], node[begin]])
-                head = heads[run]
-                away = ~begin & (head != node)
-                a.append(head[away])
-                b.append(node[away])
-                last, first = sig[-1], head[-1]
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            here = batch.column("pivot").is_valid().to_numpy(zero_copy_only=False)
+            if here.any():
+                yield batch.filter(pa.array(here))
+            sig = batch.column("sig").filter(pa.array(~here)).to_numpy().astype(np.int64)
+            node = batch.column("node").filter(pa.array(~here)).to_numpy()
+            if not len(sig):
+                continue
+            same = sig[1:] == sig[:-1]
+            keep = np.zeros(len(sig), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if last is not None and last[0] == sig[0]:
+                keep[0] = True
+                if not last[2]:
+                    yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([None], pa.int64())], ["sig", "node", "pivot"])
+            last = (int(sig[-1]), int(node[-1]), bool(keep[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(np.full(int(keep.sum()), None), pa.int64())], ["sig", "node", "pivot"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by signature, with size and sketch."""
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            nodes = np.array([n for n, _, _ in held], np.int64)
+            found = likely_edges(nodes, np.array([n for _, n, _ in held], np.int64), _aligned([s for _, _, s in held]), rule)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "node", "n", "sketch")), strict=True):
+                if sig != now:
+                    if len(held) > 1:
+                        yield done()
+                    now, held = sig, []
+                held.append(row)
+        if len(held) > 1:
+            yield done()
 
     every = rows.mapInArrow(lambda it: signed(it, pivots), out)
     dealt = every.repartition(F.coalesce("sig", F.xxhash64("node", "pivot"))).sortWithinPartitions("sig", "node")
-    clusters = connected_components(dealt.mapInArrow(runs, "a long, b long"))
+    shared = materialize(dealt.mapInArrow(runs, out).distinct(), "shared-signatures")
+    groups = shared.where("pivot IS NULL").join(known_sets, "node").select("sig", "node", "n", "sketch")
+    found = groups.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(edges, "a long, b long")
+    clusters = connected_components(found.unionByName(shared.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
 
-    members = classes.join(clusters.withColumnRenamed("label", "cluster"), "node").select("cluster", F.col("rep").alias("doc_id"), "n")
+    members = classes.drop("sketch").join(clusters.withColumnRenamed("label", "cluster"), "node").select("cluster", F.col("rep").alias("doc_id"), "n")
     members = materialize(members, "members")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("n"), F.min("doc_id").alias("pivot")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = members.drop("n").join(sizes.drop("n"), "cluster")
@@ -339,7 +410,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
     if n_alone:
         labels = _across(found, alone, keyed, rule, size, block)
     labels = labels.groupBy("doc_id").agg(F.min("label").alias("component_id"))
-    by_class = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    by_class = classes.drop("sketch").join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     return each.join(by_class, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
