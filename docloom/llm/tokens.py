@@ -15,7 +15,7 @@ import numpy as np
 from .vectext import PreTokens
 
 #: Distinct pre-tokens kept in a worker process; beyond it the memory starts afresh.
-MEMORY = 1_500_000
+MEMORY = 800_000
 
 
 class Memo:
