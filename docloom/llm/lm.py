@@ -4,8 +4,9 @@ The training texts' words and word pairs are counted by 64-bit hash. A count c i
 1 + floor(log_b c): the filter holds (n-gram, 1), ..., (n-gram, level), so probing rising levels until
 one misses gives the quantised count, and a false hit can only raise it by a level. The hash space is
 cut into ranges; a range's n-grams live in a block of the filter of their own, which one task builds.
-The filter has a fixed largest size, so that it can be broadcast: the least count an n-gram needs is
-the smallest at which all of them fit. Probabilities are interpolated from the probed counts.
+The number of ranges grows with the text, so that a block stays bounded and the filter as a whole does
+not. It is never in one place: chunks of texts send their distinct n-grams to the ranges' tasks, which
+probe their blocks and send the levels back. Probabilities are interpolated from the probed counts.
 
 The base score needs exact counts. The most frequent words' counts are broadcast (a bounded table);
 each document's other words are joined with the count table by hash.
@@ -25,10 +26,12 @@ from .storage import materialize
 from .vectext import Words, mix, steps
 
 END = np.uint64(0x5851F42D4C957F2D)
-#: Quantisation base, hash functions, bits for each held level, largest filter in bits, words in the frequent table.
+#: Quantisation base, hash functions, bits for each held level, largest block in bits, words in the frequent table.
 BASE, HASHES, BITS, MOST_BITS, FREQUENT = 1.5, 4, 10, 1 << 28, 1 << 19
 #: Text bytes of a counting range, entries after which a task passes its counts on, weight of a context's continuation.
 RANGE_BYTES, FLUSH, PRIOR = 16 << 20, 4 << 20, 8.0
+#: Tokens after which a chunk of texts asks for its n-grams' counts.
+CHUNK = 1 << 20
 _PAIR, _LEVEL, _HASH = np.uint64(0x2545F4914F6CDD1D), 0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F
 #: N-grams are counted by the upper 48 bits of their hash.
 _KEPT = np.uint64(16)
@@ -89,6 +92,18 @@ def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gap, dtype=np.uint64), np.ascontiguousarray(body[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
+def pack_ints(values: np.ndarray) -> bytes:
+    """Integers of 0 to 2^32 - 1 by byte planes, compressed."""
+    body = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpack_ints(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    body = np.frombuffer(pa.decompress(blob[8:], 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(body.reshape(4, n).T).view("<u4").ravel()
+
+
 def level_of(count: np.ndarray, base: float = BASE) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(base) + 1e-9).astype(np.int64)
 
@@ -114,6 +129,12 @@ class Filter:
         probe = np.uint64((level * _LEVEL + j * _HASH) & 0xFFFFFFFFFFFFFFFF)
         return (mix(key * _PAIR + probe) % np.uint64(block_bits)).astype(np.int64)
 
+    @classmethod
+    def of(cls, key: np.ndarray, level: np.ndarray) -> Filter:
+        """One block, as large as the keys' levels need."""
+        bits = -(-max(1024, -(-BITS * int(level.sum()) * 5 // 4)) // 8) * 8
+        return cls(1, bits, np.frombuffer(cls.block(key, level, bits), np.uint8))
+
     @classmethod
     def block(cls, key: np.ndarray, level: np.ndarray, block_bits: int) -> bytes:
         bits = np.zeros(block_bits, bool)
@@ -138,12 +159,12 @@ class Filter:
         return out
 
 
-def score_documents(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, frequent: int = FREQUENT, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, frequent: int = FREQUENT, range_bytes: int = RANGE_BYTES, chunk_tokens: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learned from train's texts.
 
     A null text counts as empty: one token, its end. Repeated rows each get a row. With no training
     text nothing is known and every token has probability 1 in the base. Empty docs give an empty
-    result. Other columns are ignored.
+    result. Other columns are ignored. most_bits bounds one block of the filter, not the filter.
     """
     spark = docs.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -175,8 +196,10 @@ def score_documents(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id"
     frequent_sent = spark.sparkContext.broadcast((known[0][order], known[1][order]))
     del table, known, order
 
-    size = train.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_ranges = max(16, -(-size // range_bytes))
+    length = F.sum(F.octet_length("text").cast("long")).alias("n")
+    size = max(df.agg(length).first()["n"] or 0 for df in (train, docs))
+    # an n-gram's level is at most its count, and a token ends two n-grams
+    n_ranges = max(16, -(-size // range_bytes), -(-2 * n_train * BITS * 5 // (4 * most_bits)))
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
@@ -189,107 +212,150 @@ def score_documents(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id"
 
     def _blobs(tally: Tally) -> pa.RecordBatch:
         key, count = tally.take()
-        r = Filter.range_of(key, n_ranges)
+        rows = [(r, pack_keys(key[o], count[o])) for r, o in split(key)]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([-1] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["r", "chunk", "blob"])
+
+    def split(key: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Of each range that has some of the keys, its number and their places."""
+        r = Filter.range_of(key, n_ranges).astype(np.uint16 if n_ranges <= 1 << 16 else np.int64)
         order = np.argsort(r, kind="stable")
         cuts = np.searchsorted(r[order], np.arange(n_ranges + 1))
-        rows = [(i, pack_keys(key[o], count[o])) for i in range(n_ranges) if len(o := order[cuts[i] : cuts[i + 1]])]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["r", "blob"])
+        return [(i, order[cuts[i] : cuts[i + 1]]) for i in range(n_ranges) if cuts[i] < cuts[i + 1]]
+
+    names = ["row", "doc_id", "n_tokens", "n_known", "base", "rare", "occurs", "chunk", "blob"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by range: a range's blobs are merged, and n-grams seen once are left out."""
-        now, keys, counts, loose = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts with the base score, and of each chunk of texts its tokens as places in its sorted words."""
+        words, exact = frequent_sent.value
+        row, parts, held, n_tokens = TaskContext.get().partitionId() << 40, [], 0, 0
 
-        def settle():
+        def chunk() -> Iterator[pa.RecordBatch]:
+            n = held
+            doc_id, text, h = (np.concatenate([part[i] for part in parts]) if i else pa.concat_arrays([part[0] for part in parts]) for i in range(3))
+            key, back = np.unique(h, return_inverse=True)
+            place = np.minimum(np.searchsorted(words, key), max(len(words) - 1, 0))
+            there = words[place] == key if len(words) else np.zeros(len(key), bool)
+            c = np.where(there, exact[place], 0) if len(words) else np.zeros(len(key), np.int64)
+            known = there[back]
+            base = np.bincount(text[known], weights=np.log10((c + 1) / space)[back][known], minlength=n).astype(float)
+            n_known = np.bincount(text[known], minlength=n)
+            # the other words, once for each text that holds them
+            group, occurs = np.unique(text[~known].astype(np.int64) * len(key) + back[~known], return_counts=True)
+            cut = np.searchsorted(group // len(key), np.arange(n + 1)).astype(np.int32)
+            rare = key[group % len(key)].astype(np.int64)
+            size = np.bincount(text, minlength=n)
+            columns = [pa.array(row + np.arange(n)), doc_id, pa.array(size), pa.array(n_known), pa.array(base), pa.ListArray.from_arrays(pa.array(cut), pa.array(rare)), pa.ListArray.from_arrays(pa.array(cut), pa.array(occurs))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.nulls(n, kind) for kind in kinds[7:]], names)
+            blob = pack_ints(np.concatenate([[n, len(key)], size, (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), back]))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind) for kind in kinds[:7]] + [pa.array([row]), pa.array([blob], pa.binary())], names)
+
+        for batch in steps(batches):
+            text, h = tokens(batch.column("text"))
+            parts.append((batch.column("doc_id"), text + held, h))
+            held, n_tokens = held + batch.num_rows, n_tokens + len(h)
+            if n_tokens >= chunk_tokens:
+                yield from chunk()
+                row, parts, held, n_tokens = row + held, [], 0, 0
+        if parts:
+            yield from chunk()
+
+    def grams_held(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+        """A chunk's text sizes, distinct n-grams, each token's places of word, pair and word before in them, and their order by range."""
+        part = unpack_ints(blob).astype(np.int64)
+        n, v = part[:2].tolist()
+        size, high, low, back = np.split(part[2:], np.cumsum([n, v, v]))
+        key = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+        end = int(np.searchsorted(key, END))
+        before = np.concatenate([[end], back[:-1]])
+        before[np.cumsum(size) - size] = end
+        code, gram_back = np.unique(before * v + back, return_inverse=True)
+        gram = np.concatenate([mix(key), mix(key[code // v] * _PAIR + key[code % v])]) >> _KEPT
+        return size, gram, np.stack([back, v + gram_back, before]), [(r, o[np.argsort(gram[o])]) for r, o in split(gram)]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+                _, gram, _, order = grams_held(blob.as_py())
+                blobs = [pack_keys(gram[o], np.zeros(len(o), np.int64)) for _, o in order]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in order], pa.int32()), pa.array([chunk] * len(order), pa.int64()), pa.array(blobs, pa.binary())], ["r", "chunk", "blob"])
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by range, training ones first: their n-grams make the range's block, which tells the levels of the asked ones."""
+        now, keys, counts, loose, block, asked, n_asked = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], None, [], 0
+
+        def settle() -> None:
             nonlocal keys, counts, loose
             if loose:
                 keys, counts = _merge(np.concatenate([keys, *(k for k, _ in loose)]), np.concatenate([counts, *(c for _, c in loose)]))
                 loose = []
 
-        def done() -> Iterator[pa.RecordBatch]:
-            settle()
-            keep = counts > 1
-            levels = np.bincount(level_of(counts[keep]), minlength=1) if keep.any() else np.zeros(1, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack_keys(keys[keep], counts[keep])], pa.binary()), pa.array([levels.tolist()], pa.list_(pa.int64()))], ["r", "blob", "levels"])
+        def answers() -> Iterator[pa.RecordBatch]:
+            nonlocal asked, n_asked
+            if asked:
+                level = block.level(np.concatenate([k for _, k in asked])).astype(np.uint8)
+                cuts = np.cumsum([0, *(len(k) for _, k in asked)])
+                blobs = [pack_ints(level[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in asked], pa.int64()), pa.array([now] * len(asked), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "r", "blob"])
+                asked, n_asked = [], 0
 
         for batch in batches:
-            for r, blob in zip(batch.column("r").to_pylist(), batch.column("blob"), strict=True):
+            for r, chunk, blob in zip(batch.column("r").to_pylist(), batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 if r != now:
-                    if now is not None:
-                        yield from done()
-                    now, keys, counts, loose = r, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-                loose.append(unpack_keys(blob.as_py()))
-                if len(loose) >= 32:
-                    settle()
-        if now is not None:
-            yield from done()
-
-    blobs = train.mapInArrow(grams_of, "r int, blob binary").repartitionById(n_ranges, F.col("r")).sortWithinPartitions("r")
-    grams = materialize(blobs.mapInArrow(merged, "r int, blob binary, levels array<long>"), "grams")
-    histogram = {r.level: r.n for r in grams.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    top = max(histogram, default=0)
-    from_level = 1
-    while from_level < top and BITS * sum(n * level for level, n in histogram.items() if level >= from_level) > most_bits:
-        from_level += 1  # the least level whose n-grams all fit
-    need = BITS * sum(n * level for level, n in histogram.items() if level >= from_level)
-    block_bits = -(-max(1024, -(-min(need, most_bits) * 5 // (4 * n_ranges))) // 8) * 8
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r, blob in zip(batch.column("r").to_pylist(), batch.column("blob"), strict=True):
+                    yield from answers()
+                    now, keys, counts, loose, block = r, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], None
                 key, count = unpack_keys(blob.as_py())
-                level = level_of(count)
-                keep = level >= from_level
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([Filter.block(key[keep], level[keep], block_bits)], pa.binary())], ["r", "bits"])
-
-    bits = np.zeros(n_ranges * block_bits // 8, np.uint8)
-    blocks = grams.select("r", "blob").mapInArrow(build, "r int, bits binary").toArrow()  # at most most_bits, and some slack
-    for r, block in zip(blocks["r"].to_pylist(), blocks["bits"], strict=True):
-        bits[r * block_bits // 8 : (r + 1) * block_bits // 8] = np.frombuffer(block.as_buffer(), np.uint8)
-    del blocks
-    filter_sent = spark.sparkContext.broadcast(bits)
+                if chunk < 0:
+                    loose.append((key, count))
+                    if len(loose) >= 32:
+                        settle()
+                    continue
+                if block is None:
+                    settle()
+                    keep = counts > 1
+                    block = Filter.of(keys[keep], level_of(counts[keep]))
+                    keys, counts = keys[:0], counts[:0]
+                asked.append((chunk, key))
+                n_asked += len(key)
+                if n_asked > FLUSH // 8:
+                    yield from answers()
+        yield from answers()
+
     space = float(n_train + n_words + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, (words, exact) = Filter(n_ranges, block_bits, filter_sent.value), frequent_sent.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in steps(batches):
-            n = batch.num_rows
-            text, h = tokens(batch.column("text"))
-            key, back = np.unique(h, return_inverse=True)
-            place = np.minimum(np.searchsorted(words, key), max(len(words) - 1, 0))
-            there = words[place] == key if len(words) else np.zeros(len(key), bool)
-            c = np.where(there, exact[place], 0) if len(words) else np.zeros(len(key), np.int64)
-            known = there[back]
-            base = np.bincount(text[known], weights=np.log10((c + 1) / space)[back][known], minlength=n).astype(float)
-            n_known = np.bincount(text[known], minlength=n)
-            # the other words, once for each text that holds them
-            rare_text, rare_at = text[~known], back[~known]
-            group, occurs = np.unique(rare_text.astype(np.int64) * len(key) + rare_at, return_counts=True)
-            cut = np.searchsorted(group // max(len(key), 1), np.arange(n + 1)).astype(np.int32)
-            rare = key[group % max(len(key), 1)].astype(np.int64)
-            # the model
-            single = count_of(held.level(mix(key) >> _KEPT))
-            gram, gram_back = np.unique(pairs(text, h) >> _KEPT, return_inverse=True)
-            both = count_of(held.level(gram))[gram_back]
-            first = np.ones(len(text), bool)
-            first[1:] = text[1:] != text[:-1]
-            end = count_of(held.level(mix(np.array([END])) >> _KEPT))[0]
-            context = np.concatenate([[end], single[back][:-1]])
-            context[first] = end
-            unigram = (single[back] + 1) / space
-            seen = np.maximum(context, both)
-            weight = seen / (seen + PRIOR)
-            p = np.where(both > 0, weight * both / np.maximum(seen, 1) + (1 - weight) * unigram, (1 - weight * 0.5) * unigram)
-            total = np.bincount(text, weights=np.log10(np.minimum(p, 1.0)), minlength=n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(n)), batch.column("doc_id"), pa.array(np.bincount(text, minlength=n)), pa.array(n_known), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(cut), pa.array(rare)), pa.ListArray.from_arrays(pa.array(cut), pa.array(occurs))],
-                ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "occurs"],
-            )
-            row += n
-
-    scored = materialize(docs.mapInArrow(score, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, occurs array<long>"), "scored")
+        """Rows sorted by chunk and range, a chunk's tokens last."""
+        levels = []
+        for batch in batches:
+            for chunk, r, blob in zip(batch.column("chunk").to_pylist(), batch.column("r").to_pylist(), batch.column("blob"), strict=True):
+                if r < n_ranges:
+                    levels.append(unpack_ints(blob.as_py()))
+                    continue
+                size, gram, at, order = grams_held(blob.as_py())
+                n, told = len(size), np.concatenate(levels)
+                levels = []
+                if len(told) != len(gram):
+                    raise RuntimeError(f"chunk {chunk}: {len(told)} levels of {len(gram)} n-grams")
+                count = np.empty(len(gram))
+                count[np.concatenate([o for _, o in order])] = count_of(told.astype(np.int64))
+                single, both, context = count[at]
+                text = np.repeat(np.arange(n), size)
+                unigram = (single + 1) / space
+                seen = np.maximum(context, both)
+                weight = seen / (seen + PRIOR)
+                p = np.where(both > 0, weight * both / np.maximum(seen, 1) + (1 - weight) * unigram, (1 - weight * 0.5) * unigram)
+                total = np.bincount(text, weights=np.log10(np.minimum(p, 1.0)), minlength=n)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk + np.arange(n)), pa.array(total)], ["row", "score"])
+
+    texts = materialize(docs.mapInArrow(read, "row long, doc_id long, n_tokens long, n_known long, base double, rare array<long>, occurs array<long>, chunk long, blob binary"), "texts")
+    chunks = texts.where(F.col("chunk").isNotNull()).select("chunk", "blob")
+    by_range = train.mapInArrow(grams_of, "r int, chunk long, blob binary").unionByName(chunks.mapInArrow(ask, "r int, chunk long, blob binary")).repartitionById(n_ranges, F.col("r")).sortWithinPartitions("r", "chunk")
+    told = by_range.mapInArrow(probed, "chunk long, r int, blob binary")
+    by_chunk = told.unionByName(chunks.withColumn("r", F.lit(n_ranges).cast("int"))).repartition(n_ranges, "chunk").sortWithinPartitions("chunk", "r")
+    model = by_chunk.mapInArrow(score, "row long, score double")
+    scored = texts.where(F.col("row").isNotNull())
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "occurs")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.occurs").alias("o"))
     c = F.coalesce("c", F.lit(0))
     rest = rare.join(counts.where(F.col("c") < F.lit(1 << least)), "h", "left").groupBy("row").agg(F.sum(F.col("o") * F.log10((c + 1) / F.lit(space))).alias("more"), F.sum(F.when(c > 0, F.col("o")).otherwise(0)).alias("seen"))
-    out = scored.drop("rare", "occurs").join(rest, "row", "left")
+    out = scored.select("row", "doc_id", "n_tokens", "n_known", "base").join(rest, "row", "left").join(model, "row")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")

@@ -70,6 +70,44 @@ def test_scores(spark):
             assert r.score < 0 and math.isfinite(r.score)
 
 
+def plain_score(text, single, pair):
+    """The model's score of a text from levelled counts held in dictionaries."""
+    n, v = sum(single.values()), len(single)
+    level = lambda c: float(count_of(level_of(np.array([c])))[0]) if c else 0.0
+    out, before = 0.0, "\0end"
+    for w in words(text):
+        context, one, both = level(single.get(before, 0)), level(single.get(w, 0)), level(pair.get((before, w), 0))
+        unigram, seen = (one + 1) / (n + v + 1), max(context, both)
+        weight = seen / (seen + lm.PRIOR)
+        out += math.log10(min(weight * both / max(seen, 1) + (1 - weight) * unigram if both else (1 - weight * 0.5) * unigram, 1.0))
+        before = w
+    return out
+
+
+def counted(texts):
+    single, pair = Counter(), Counter()
+    for text in texts:
+        ws = words(text)
+        single.update(ws)
+        pair.update(zip(["\0end", *ws], ws, strict=False))
+    return single, pair
+
+
+def test_no_level_is_dropped_when_blocks_are_small(spark):
+    rnd = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 400, rnd.integers(1, 60))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts + texts)]  # every n-gram at least twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    single, pair = counted(t for _, t in rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    for options in ({"most_bits": 1 << 14}, {"most_bits": 1 << 14, "chunk_tokens": 500}):
+        got = {r.doc_id: r.score for r in score_documents(docs, docs, **options).collect()}
+        off = [abs(got[i] - plain_score(t, single, pair)) / len(words(t)) for i, t in rows]
+        # a false hit of the filter raises a count by a level
+        assert np.mean(np.array(off) < 1e-9) > 0.5 and max(off) < 0.1
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = docs.where("false")
