@@ -312,8 +312,7 @@ def score_documents(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id"
                     continue
                 if block is None:
                     settle()
-                    keep = counts > 1
-                    block = Filter.of(keys[keep], level_of(counts[keep]))
+                    block = Filter.of(keys, level_of(counts))
                     keys, counts = keys[:0], counts[:0]
                 asked.append((chunk, key))
                 n_asked += len(key)

@@ -108,6 +108,16 @@ def test_no_level_is_dropped_when_blocks_are_small(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_ngrams_seen_once_count(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(40)]  # every word and pair once
+    docs = spark.createDataFrame(rows + [(99, "never seen words")], "doc_id long, text string")
+    train = docs.where("doc_id < 99")
+    single, pair = counted(t for _, t in rows)
+    got = {r.doc_id: r.score for r in score_documents(docs, train).collect()}
+    assert np.mean([abs(got[i] - plain_score(t, single, pair)) < 1e-9 for i, t in rows]) > 0.5
+    assert abs(got[99] - plain_score("never seen words", single, pair)) < 1e-9
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = docs.where("false")
