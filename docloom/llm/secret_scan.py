@@ -2,8 +2,8 @@
 
 Ordinary words and identifiers take few tokens for their length under a byte-pair vocabulary, random
 strings take many. A run of key characters whose characters-per-token ratio is low is reported unless
-it is a known kind of digest or identifier: bare hexadecimal of a digest's length, a UUID, a number, or
-letters that look like words.
+it is a known kind of digest or identifier: bare hexadecimal of a digest's length, a UUID or a number.
+Runs of letters in the shape of words are held to a somewhat lower ratio.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 
+#: Share of the ratio that runs in the shape of words are held to: 2.0 at a ratio of 2.2.
+LETTERS = 2.0 / 2.2
+
 
 @lru_cache(2)
 def vocabulary(path: str, pattern: str):
@@ -51,16 +54,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def looks_ordinary(run: str) -> bool:
-    """Known digests and identifiers, numbers, and letters in the shapes of words."""
+    """Known digests and identifiers, and numbers."""
     if run.isdigit() or _UUID.fullmatch(run):
         return True
     if len(run) in DIGESTS and all(c in "0123456789abcdef" for c in run.lower()):
         return True
+    return False
+
+
+def wordlike(run: str) -> bool:
+    """Letters with at most one digit, or digits with at most one letter, whose case doesn't change often."""
     digits, letters = sum(c.isdigit() for c in run), sum(c.isalpha() for c in run)
     if digits >= 2 and letters >= 2:
         return False
-    turns = sum(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False))
-    return turns < 3  # letters only: random ones change case often
+    return sum(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False)) < 3
 
 
 def random_spans(text: str, encoding, ratio: float) -> list[tuple[int, int, int]]:
@@ -70,7 +77,8 @@ def random_spans(text: str, encoding, ratio: float) -> list[tuple[int, int, int]
             word = part[0].strip("-_/+")
             if len(word) < 16 or looks_ordinary(word):
                 continue
-            if len(word) < ratio * len(encoding.encode_ordinary(word)):
+            least = ratio * LETTERS if wordlike(word) else ratio
+            if len(word) < least * len(encoding.encode_ordinary(word)):
                 start = run.start() + part.start() + part[0].index(word)
                 out.append((start, 3, start + len(word)))
     return out
