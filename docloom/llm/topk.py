@@ -59,7 +59,7 @@ class Shard:
         for i in range(essential, len(query)):
             d = order[i]
             if query[d] == 0:
-                break
+                continue  # others with a bound of 0 may stand behind it
             score = score + query[d] * self.columns[d, alive]
             keep = score + rest[i + 1] >= threshold
             if not keep.all():

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from docloom.llm.topk import top_k
+from docloom.llm.topk import Shard, top_k
 
 
 def brute(rows, queries, k):
@@ -32,6 +32,25 @@ def test_large_components_and_few_rows(spark):
     assert got == brute(rows, {2}, 5)
 
 
+def test_zero_weights_and_columns_of_one_sign():
+    query = np.array([0.0, 256.0, 256.0])
+    for seed in range(30):
+        rnd = np.random.default_rng(seed)
+        columns = np.stack([rnd.integers(-9, 9, 200), rnd.integers(1, 9, 200), rnd.integers(-9, 0, 200)], 1).astype(float)
+        ids, scores = Shard(np.arange(200), columns).search(query, -1, 5)
+        expected = sorted((-s, i) for i, s in enumerate(columns @ query))[:5]
+        assert list(zip(-scores, ids, strict=True)) == expected
+
+
+def test_small_shards_with_zero_components(spark):
+    rnd = np.random.default_rng(6)
+    sign = np.where(rnd.random((20, 8)) < 0.5, -1, 1)
+    rows = [(i, (sign[i // 10] * np.abs(rnd.normal(0, 0.3, 8)) * (rnd.random(8) < 0.7)).tolist()) for i in range(200)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = top_k(docs, docs.where("vec_id % 5 = 0"), k=2, shard_rows=5)
+    assert sorted(map(tuple, got.collect())) == brute(rows, set(range(0, 200, 5)), 2)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(docs, docs).collect() == []
