@@ -44,11 +44,15 @@ def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return lower_case()[codes], np.searchsorted(np.cumsum(size), start, side="right"), start, end
 
 
+def code_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hash(codes.view(np.uint8), 4 * start, 4 * end)[0]
+
+
 def features(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature) of the spans: the word, its first and last 1 to 3 letters, its 1- to 3-grams."""
     n, length = len(start), end - start
     number = np.arange(n)
-    rows, values = [number], [span_hash(codes, start, end)]
+    rows, values = [number], [code_hash(codes, start, end)]
     inner = np.repeat(start, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     owner = np.repeat(number, length)
     rolled = np.zeros(len(inner), np.uint64)
@@ -106,7 +110,7 @@ class Model:
         codes, text, start, end = letter_words(texts)
         if not len(start):
             return text, np.zeros((0, len(self.labels)))
-        key, first, back = np.unique(span_hash(codes, start, end), return_index=True, return_inverse=True)
+        key, first, back = np.unique(code_hash(codes, start, end), return_index=True, return_inverse=True)
         order = np.argsort(first)  # spans in rising order
         scores = np.empty((len(key), len(self.labels)))
         scores[order] = word_scores(self.weights, codes, start[first[order]], end[first[order]])

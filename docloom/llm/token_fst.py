@@ -7,15 +7,18 @@ that list: for each open start, its place in the vocabulary's trie, the last tok
 many fewer tokens it has. States are made when first reached and interned, so the machine is
 deterministic; a transition carries the number of tokens by which the count changes.
 
-A long text is read in chunks. What a chunk does to any incoming state is its state map: a white-space
-character after another character starts a new pre-token whatever came before, so the map is the open
-text before the first such point, the count between the first and the last, and the open text after
-the last. Maps compose associatively and are combined in a tree, as in a parallel prefix scan.
+A long text is read in chunks that start anywhere, inside a pre-token, too. A chunk's state map tells
+for every state that the machine may come in with the state it goes out with and how the count
+changes. Where a pre-token begins the machine is back at its start, so what comes after a chunk's
+first such place is the same for every state: pre-tokens that lie in the chunk as a whole are counted
+by the memory of pre-tokens, the open one at its end is read from the start. What comes before that
+place is read once from the start as the reference; from another state it is read only until the
+state is the reference's, from where on the reference tells the rest. Maps compose associatively and
+are combined in a tree, as in a parallel prefix scan.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Memo, distinct
+from .tokens import Known, byte_level
 from .vectext import PreTokens, steps
 
-#: Code points of a chunk.
-CHUNK = 1 << 16
+#: Bytes of a chunk.
+CHUNK = 1 << 14
 #: Distinct pre-tokens whose counts a worker keeps, states of the machine (about 1 KB each) and token pairs tried; beyond it they start afresh.
 MEMORY, STATES, PAIRS = 1_500_000, 400_000, 1_000_000
-_SYNC = re.compile(r"(?<=\S)(?=\s)")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -46,9 +48,7 @@ class Transducer:
     START = 0
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        symbol = byte_symbols()
+        spec, symbol = byte_level(path), byte_symbols()
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.tokens = {bytes(symbol[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in set(self.added)}
         self.bytes_of = {i: b for b, i in self.tokens.items()}
@@ -126,72 +126,116 @@ class Transducer:
         move = self.moves[state][byte] = (self.number[new], change)
         return move
 
-    def count_pretoken(self, text: bytes) -> int:
-        state, total, moves = self.START, 0, self.moves
+    def run(self, state: int, text: bytes) -> tuple[int, int]:
+        """The state after text, and the change of the count."""
+        total, moves = 0, self.moves
         for byte in text:
             move = moves[state].get(byte) or self.compile(state, byte)
             state = move[0]
             total += move[1]
-        return total
+        return state, total
+
+    def count_pretoken(self, text: bytes) -> int:
+        return self.run(self.START, text)[1]
+
+
+class StateMap:
+    """What a chunk does to a state: `head` is its part before the first pre-token that begins in it, `rest` what comes after from there (state, count)."""
+
+    def __init__(self, machine: Transducer, head: bytes, rest: tuple[int, int] | None) -> None:
+        self.machine, self.head, self.rest, self.table = machine, head, rest, {}
+        # the reference: states and counts after every byte of the head, read from the start
+        self.states, self.counts, state, total = [Transducer.START], [0], Transducer.START, 0
+        for byte in head:
+            state, change = machine.moves[state].get(byte) or machine.compile(state, byte)
+            total += change
+            self.states.append(state)
+            self.counts.append(total)
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        if state not in self.table:
+            out, total, moves = state, 0, self.machine.moves
+            for i, byte in enumerate(self.head):
+                if out == self.states[i]:  # from here on as the reference
+                    out, total = self.states[-1], total + self.counts[-1] - self.counts[i]
+                    break
+                out, change = moves[out].get(byte) or self.machine.compile(out, byte)
+                total += change
+            self.table[state] = (out, total) if self.rest is None else (self.rest[0], total + self.rest[1])
+        return self.table[state]
+
+
+class Composed:
+    """The state map of two pieces of text that follow each other."""
+
+    def __init__(self, left: StateMap | Composed, right: StateMap | Composed) -> None:
+        self.left, self.right, self.table = left, right, {}
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        if state not in self.table:
+            between, first = self.left(state)
+            out, second = self.right(between)
+            self.table[state] = (out, first + second)
+        return self.table[state]
+
+
+def reduced(maps: list) -> StateMap | Composed:
+    """All maps composed, neighbours first: the last step of a parallel prefix scan."""
+    while len(maps) > 1:
+        maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 class Counter:
     def __init__(self, path: str) -> None:
-        self.machine, self.memo = Transducer(path), Memo(np.uint32)
+        self.machine = Transducer(path)
+        self.known = Known(np.uint32, MEMORY, lambda words: [(self.machine.count_pretoken(w),) for w in words])
         self.special = re.compile("|".join(map(re.escape, self.machine.added))) if self.machine.added else None
 
-    def plain(self, texts: list[str]) -> np.ndarray:
-        """Counts of texts without added strings, each read from the start state."""
-        pre = PreTokens(texts)
-        key, first, back = distinct(pre)
-        if len(self.memo.key) > MEMORY:
-            self.memo.clear()
+    def _bound(self) -> None:
+        """Start the machine's memories afresh when they are full; no state map may be in use."""
         if len(self.machine.states) > STATES:
             self.machine.reset()
         if len(self.machine.pairs) > PAIRS:
             self.machine.pairs.clear()
-        _, there = self.memo.find(key)
-        if not there.all():
-            new = first[~there]
-            count = self.machine.count_pretoken
-            self.memo.add(key[~there], [(count(pre.joined[a:b].encode()),) for a, b in zip(pre.start[new].tolist(), pre.end[new].tolist(), strict=True)])
-        place, _ = self.memo.find(key)
-        each = self.memo.flat[self.memo.at[place]][back] if len(key) else np.zeros(0)
-        return np.bincount(pre.text, weights=each, minlength=len(texts)).astype(np.int64) if len(each) else np.zeros(len(texts), np.int64)
-
-    def maps(self, chunks: list[str]) -> list[tuple[str, int, str | None]]:
-        """Each chunk's state map (open head, count, open tail); tail None: no starting point, all is head."""
-        cuts = []
-        for chunk in chunks:
-            first = _SYNC.search(chunk)
-            if first is None:
-                cuts.append(None)
+
+    def each(self, pre: PreTokens) -> np.ndarray:
+        """The count of every pre-token."""
+        place, odd = self.known.look_up(pre)
+        memo = self.known.memo
+        out = memo.flat[memo.at[place]].astype(np.int64) if len(memo.at) else np.zeros(len(place), np.int64)
+        if odd.any():  # they share a hash with others
+            out[odd] = [self.machine.count_pretoken(w) for w in pre.words(np.flatnonzero(odd))]
+        return out
+
+    def plain(self, texts: list[str]) -> np.ndarray:
+        """Counts of texts without added strings, pre-token by pre-token."""
+        self._bound()
+        pre = PreTokens(texts)
+        return np.bincount(pre.text, weights=self.each(pre), minlength=len(texts)).astype(np.int64)
+
+    def maps(self, text: str, chunk: int) -> list[StateMap]:
+        """The state maps of the text's chunks of so many bytes."""
+        self._bound()
+        pre = PreTokens([text])
+        first, data, out = pre.first, pre.bytes, []
+        whole = first // chunk == (pre.last - 1) // chunk  # the others are read by the machine, piece by piece
+        count = np.zeros(len(first), np.int64)
+        count[whole] = self.each(pre.take(np.flatnonzero(whole)))
+        upto = np.concatenate([[0], np.cumsum(count)])
+        for a in range(0, len(data), chunk):
+            b = min(a + chunk, len(data))
+            low, high = np.searchsorted(first, [a, b]).tolist()  # the pre-tokens that begin here
+            if low == high:
+                out.append(StateMap(self.machine, data[a:b], None))
                 continue
-            at = len(chunk)
-            while True:  # the last point: its pre-token run is short, so look back in growing steps
-                low = max(first.start(), at - 256)
-                found = [m.start() for m in _SYNC.finditer(chunk, max(low - 1, 0)) if m.start() >= low]
-                if found:
-                    break
-                at = low
-            cuts.append((first.start(), found[-1]))
-        middle = self.plain([c[a:b] if (a_b := cut) and (a := a_b[0]) >= 0 and (b := a_b[1]) >= 0 else "" for c, cut in zip(chunks, cuts, strict=True)])
-        return [(c, 0, None) if cut is None else (c[: cut[0]], int(m), c[cut[1] :]) for c, cut, m in zip(chunks, cuts, middle, strict=True)]
-
-    def compose(self, left: tuple[str, int, str | None], right: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
-        if left[2] is None:
-            return left[0] + right[0], right[1], right[2]
-        if right[2] is None:
-            return left[0], left[1], left[2] + right[0]
-        return left[0], left[1] + int(self.plain([left[2] + right[0]])[0]) + right[1], right[2]
+            state, tail = (Transducer.START, 0) if whole[high - 1] else self.machine.run(Transducer.START, data[int(first[high - 1]) : b])
+            out.append(StateMap(self.machine, data[a : int(first[low])], (state, int(upto[high] - upto[low]) + tail)))
+        return out
 
     def scan(self, text: str, chunk: int = CHUNK) -> int:
-        """The count of one text from its chunks' maps, combined in a tree."""
-        maps = self.maps([text[i : i + chunk] for i in range(0, len(text), chunk)] or [""])
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, count, tail = maps[0]
-        return count + int(self.plain([head, tail or ""]).sum())
+        """The count of one text from its chunks' maps."""
+        return reduced(self.maps(text, chunk))(Transducer.START)[1] if text else 0
 
     def count(self, texts: list[str], chunk: int = CHUNK) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -13,7 +15,6 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one step holds; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -57,7 +58,7 @@ _LOWER[65:91] += 32
 
 
 class Words:
-    """The words [^\\x20\\x09-\\x0D]+ of texts with A-Z lower-cased: hash, text number, start and end byte."""
+    """The words [^\\x20\\x09-\\x0D]+ of texts with A-Z lower-cased: two hashes, text number, start and end byte."""
 
     def __init__(self, texts: pa.Array) -> None:
         raw, self.offsets = utf8(texts)
@@ -76,37 +77,50 @@ class Words:
         else:
             self.start = self.end = np.zeros(0, np.int64)
         self.text = np.searchsorted(self.offsets, self.start, side="right") - 1
-        self.hash = span_hash(self.bytes, self.start, self.end)
+        self.hash, self.check = span_hash(self.bytes, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
 
 
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for spans in order that don't overlap."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    length = end - start
-    at = np.arange(len(values), dtype=np.int64)
-    owner = np.zeros(len(values) + 1, np.int64)
-    owner[start] = 1
-    owner = np.cumsum(owner[:-1]) - 1
-    inside = (owner >= 0) & (at < end[owner])
-    power = _powers(int(length.max()))
-    product = (values[inside].astype(np.uint64) + np.uint64(1)) * power[(at - start[owner])[inside]]
-    first = np.concatenate([[0], np.cumsum(length)[:-1]])
-    return mix(np.add.reduceat(product, first) + length.astype(np.uint64) * _M2)
-
+#: Bytes that span_hash reads eight at a time; longer spans go to a digest of their own.
+_LANED = 256
+_K1, _K2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 
-@lru_cache(8)
-def _power_table(n: int) -> np.ndarray:
-    table = np.full(n, _BASE, np.uint64)
-    table[0] = 1
-    return np.multiply.accumulate(table)
 
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each of the spans values[start:end] of bytes, 128 bits in all.
 
-def _powers(n: int) -> np.ndarray:
-    return _power_table(1 << max(10, int(n).bit_length()))
+    Every eight bytes pass through a scramble that is not linear before the next eight are taken in, so no
+    strings collide by their form. Only the span's bytes and length count, not where it lies.
+    """
+    length = (end - start).astype(np.int64)
+    h, g = length.astype(np.uint64) * _M1, length.astype(np.uint64) * _M2
+    if not len(start):
+        return h, g
+    padded = np.concatenate([values, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(values) + 1,), "<u8", padded, strides=(1,))
+    big = np.flatnonzero(length > _LANED)
+    at, left, live = start.astype(np.int64), length, np.flatnonzero((length > 0) & (length <= _LANED))
+    at, left = at[live], left[live]
+    while len(live):
+        lane = eight[at] & _MASK[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ lane) * _K1)
+        other = (g[live] + lane) * _K2
+        other ^= other >> np.uint64(29)
+        g[live] = other * _M1 ^ other >> np.uint64(32)
+        more = left > 8
+        at, left, live = at[more] + 8, left[more] - 8, live[more]
+    for i in big.tolist():
+        digest = hashlib.blake2b(values[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        h[i], g[i] = np.frombuffer(digest, np.uint64)
+    return h, mix(g)
+
+
+def _then(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The hash of a sequence that goes on with h."""
+    return (before ^ before >> np.uint64(31)) * _M1 + h
 
 
 def shingles(words: Words, size: int, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +134,7 @@ def shingles(words: Words, size: int, n_texts: int) -> tuple[np.ndarray, np.ndar
     if n >= size:
         rolled = h[: n - size + 1].copy()
         for i in range(1, size):
-            rolled = rolled * _M1 + h[i : n - size + 1 + i]
+            rolled = _then(rolled, h[i : n - size + 1 + i])
         same = words.text[: n - size + 1] == words.text[size - 1 :]
         out_text.append(words.text[: n - size + 1][same])
         out_hash.append(mix(rolled[same]))
@@ -130,7 +144,7 @@ def shingles(words: Words, size: int, n_texts: int) -> tuple[np.ndarray, np.ndar
         rolled = h[first]
         for i in range(1, size - 1):
             more = count[few] > i
-            rolled[more] = rolled[more] * _M1 + h[first[more] + i]
+            rolled[more] = _then(rolled[more], h[first[more] + i])
         out_text.append(few)
         out_hash.append(mix(rolled + count[few].astype(np.uint64)))
     text, value = np.concatenate(out_text), np.concatenate(out_hash)
@@ -154,14 +168,15 @@ def char_classes() -> np.ndarray:
 
 
 class PreTokens:
-    """Byte-level BPE's pre-tokens of texts: text number, start and end code point, hash.
+    """Byte-level BPE's pre-tokens of texts: text number, start and end code point, start and end byte, two hashes.
 
     The rule is 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+ .
     """
 
     def __init__(self, texts: list[str]) -> None:
-        self.joined = "".join(texts)
-        codes = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32)
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        self.bytes = joined.encode()
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(size)])
         n = len(codes)
@@ -191,13 +206,19 @@ class PreTokens:
         start = np.flatnonzero(begin[:-1])
         self.start, self.end = start, np.concatenate([start[1:], [n]]) if len(start) else start
         self.text = np.searchsorted(self.offsets, start, side="right") - 1
-        self.hash = self._hash(codes)
-
-    def _hash(self, codes: np.ndarray) -> np.ndarray:
-        """Spans cover all code points, so one pass over them does."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        length = self.end - self.start
-        place = np.arange(len(codes), dtype=np.int64) - np.repeat(self.start, length)
-        product = (codes.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[place]
-        return mix(np.add.reduceat(product, self.start) + length.astype(np.uint64) * _M2)
+        self.first, self.last = self.start, self.end
+        if len(self.bytes) > n:
+            wide = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000), dtype=np.int64)])
+            self.first, self.last = wide[self.start], wide[self.end]
+        self.hash, self.check = span_hash(np.frombuffer(self.bytes, np.uint8), self.first, self.last)
+
+    def take(self, which: np.ndarray) -> PreTokens:
+        """Some of the pre-tokens."""
+        part = copy.copy(self)
+        for name in ("start", "end", "first", "last", "text", "hash", "check"):
+            setattr(part, name, getattr(self, name)[which])
+        return part
+
+    def words(self, which: np.ndarray) -> list[bytes]:
+        """The bytes of some pre-tokens."""
+        return [self.bytes[a:b] for a, b in zip(self.first[which].tolist(), self.last[which].tolist(), strict=True)]
