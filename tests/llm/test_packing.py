@@ -36,12 +36,12 @@ def test_deficits_carry():
     assert np.bincount(first[first[:, 3] == 0][:, 0], weights=first[first[:, 3] == 0][:, 2]).tolist() == [100, 300]
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 3000])
-def test_pack(spark, shard_bytes):
-    texts = [None, "", "short", *("word%d and more " % i * (i * 7 % 90) for i in range(60))]
+@pytest.mark.parametrize("shard_tokens", [1 << 20, 900])
+def test_pack(spark, shard_tokens):
+    texts = [None, "", "short", "long " * 30000, *("word%d and more " % i * (i * 7 % 90) for i in range(60))]
     rows = [(t, i, None if i % 9 == 0 else f"s{i % 4}", 5) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "text string, doc_id long, source string, length int")
-    got = pack(docs, queries.byte_bpe(), shard_bytes=shard_bytes, length=64, window=2).collect()
+    got = pack(docs, queries.byte_bpe(), shard_tokens=shard_tokens, length=64, window=2).collect()
     library = Encoder(queries.byte_bpe()).library
     ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     seen = {i: 0 for i in ids}
@@ -70,3 +70,39 @@ def test_empty_and_shares(spark):
     got = pack(docs, queries.byte_bpe(), shares={"s0": 0.75, "s1": 0.25}, length=100, window=4).collect()
     first = [r for r in got if r.sequence_id < 4]
     assert abs(sum(r.length for r in first if r.source == "s0") - 300) <= 1
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    rows = [(None, "the same words " * 20, "a" if i % 3 else None, "x") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard string").repartition(3)
+    got = pack(docs, queries.byte_bpe(), shard_tokens=500, length=64, window=2).collect()
+    n = len(Encoder(queries.byte_bpe()).library.encode("the same words " * 20).ids) + 1
+    assert sum(r.length for r in got) == 200 * n and {r.doc_tokens for r in got} == {n}
+    shards = [r.sequence_id >> 32 for r in got]
+    assert len(set(shards)) > 20 and max(map(shards.count, set(shards))) < len(shards) / 4
+
+
+def test_deficits_carry_over_shards_in_tokens(spark):
+    rows = [(i, "one two three four five " * 10, "a" if i % 4 else "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pack(docs, queries.byte_bpe(), shard_tokens=4000, length=50, window=4, shares={"a": 0.5, "b": 0.5}).collect()
+    held: dict = {}
+    for r in got:
+        held.setdefault(r.sequence_id >> 32, {}).setdefault(r.source, 0)
+        held[r.sequence_id >> 32][r.source] += r.length
+    assert len(held) > 3  # every shard starts with what the ones before it owe: b is short everywhere, so b comes first
+    for shard in sorted(held)[1:]:
+        first = [r.source for r in got if r.sequence_id == shard << 32]
+        assert "b" in first or "b" not in held[shard]
+
+
+def test_totals(spark):
+    from docloom.llm.totals import with_before
+
+    rows = [(s, i, (i * 7) % 5) for s in ("x", None) for i in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, "source string, n long, v long")
+    for by in ([], ["source"]):
+        part = df if by else df.where("source = 'x'")
+        for block in (4, 4096):
+            for r in with_before(part, "n", "v", by, block).collect():
+                assert r.before == sum(v for s, i, v in rows if s == r.source and i < r.n)
