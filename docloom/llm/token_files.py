@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import encoder, with_end
+from .totals import with_before
 from .vectext import steps
 
 FORMAT = {
@@ -36,7 +37,9 @@ SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0) -> None:
     """Encode every whole text and write the files; a null text counts as empty, and every row is kept.
 
-    Rows of equal id are ordered by text. A null id comes first. An empty table gives an empty file set.
+    Rows of equal id are ordered by their text's hash, then by text, and may lie in several files, unless
+    their texts are equal, too. A null id comes first. An empty table gives an empty file set. Other
+    columns are ignored.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +58,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
             total += int(offsets[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     ordered.mapInArrow(encode, SCHEMA).write.options(**FORMAT).parquet(path)
 
 
@@ -66,7 +70,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.schema(SCHEMA).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    before = with_before(totals, "part", "total").select("part", "before")
     return files.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
