@@ -1,15 +1,23 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The training texts' words and word pairs are counted by 64-bit hash. A count c is kept as its level
-1 + floor(log_b c): the filter holds (n-gram, 1), ..., (n-gram, level), so probing rising levels until
-one misses gives the quantised count, and a false hit can only raise it by a level. The hash space is
-cut into ranges; a range's n-grams live in a block of the filter of their own, which one task builds.
-The number of ranges grows with the text, so that a block stays bounded and the filter as a whole does
-not. It is never in one place: chunks of texts send their distinct n-grams to the ranges' tasks, which
-probe their blocks and send the levels back. Probabilities are interpolated from the probed counts.
-
-The base score needs exact counts. The most frequent words' counts are broadcast (a bounded table);
-each document's other words are joined with the count table by hash.
+The training texts' words and word pairs are counted. A count is kept as its level, exact for small
+counts and logarithmic beyond: the filter holds (n-gram, 1), ..., (n-gram, level), so probing rising
+levels until one misses gives the quantised count, and a false hit can only raise it by a level. The
+hash space is cut into ranges; a range's n-grams live in a block of the filter of their own, which one
+task builds. The number of ranges grows with the text, so that a block stays bounded and the filter as
+a whole does not. It is never in one place: chunks of texts send their distinct n-grams, with how
+often training texts hold them, to the ranges' tasks, which build their blocks of all chunks' counts,
+probe them and send the levels back.
+
+The probability of a word after another one is that of the pair's count, smoothed by the word's own:
+(c(before, word) + PRIOR p(word)) / (c(before) + PRIOR), with p(word) = (c(word) + 1) / (Q + V + 1),
+all counts as the filter has them, V the number of known words and Q the sum of their counts. A pair
+counts no more than its words do. For every context the probabilities of all known words and one
+unknown word sum to 1, but for what quantising the counts adds or takes (at most a step, 2 % by
+default) and for the filter's false hits.
+
+The base score needs exact counts. The ranges' tasks have them, by 128 bits of hash, and send them
+back with the levels.
 """
 
 from __future__ import annotations
@@ -19,342 +27,328 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 from .vectext import Words, mix, steps
 
 END = np.uint64(0x5851F42D4C957F2D)
-#: Quantisation base, hash functions, bits for each held level, largest block in bits, words in the frequent table.
-BASE, HASHES, BITS, MOST_BITS, FREQUENT = 1.5, 4, 10, 1 << 28, 1 << 19
-#: Text bytes of a counting range, entries after which a task passes its counts on, weight of a context's continuation.
-RANGE_BYTES, FLUSH, PRIOR = 16 << 20, 4 << 20, 8.0
-#: Tokens after which a chunk of texts asks for its n-grams' counts.
-CHUNK = 1 << 20
-_PAIR, _LEVEL, _HASH = np.uint64(0x2545F4914F6CDD1D), 0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F
-#: N-grams are counted by the upper 48 bits of their hash.
+#: Counts that have a level each, ratio of the levels beyond, hash functions, bits for each held level.
+EXACT, BASE, HASHES, BITS = 16, 1.02, 5, 14
+#: Tokens of a range, tokens after which a chunk of texts asks for its n-grams' counts, n-grams probed at once, weight of the word's own probability.
+RANGE_TOKENS, CHUNK, FLUSH, PRIOR = 3 << 19, 1 << 20, 1 << 19, 8.0
+#: Partitions that ranges or chunks are dealt to at most, and chunks of a partition.
+MOST_PARTS, PART_CHUNKS = 1 << 14, 4
+_PAIR, _LEVEL = np.uint64(0x2545F4914F6CDD1D), 0x9E6C63D0676A9A99
+#: N-grams are held in the filter by the upper 48 bits of their hash.
 _KEPT = np.uint64(16)
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every text's words and its end."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash, second hash) of every text's words and its end."""
     words, n = Words(texts), len(texts)
     at = np.searchsorted(words.text, np.arange(n), side="right")
-    return np.insert(words.text, at, np.arange(n)), np.insert(words.hash, at, END)
+    return np.insert(words.text, at, np.arange(n)), np.insert(words.hash, at, END), np.insert(words.check, at, END)
 
 
-def pairs(text: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Hashes of (word before, word); the end of a text stands before its first word, too."""
-    before = np.concatenate([[END], h[:-1]])
-    first = np.ones(len(text), bool)
-    first[1:] = text[1:] != text[:-1]
-    before[first] = END
-    return mix(before * _PAIR + h)
+def planes(values: np.ndarray, width: int) -> np.ndarray:
+    """Unsigned integers as bytes, all first ones, then all second ones and so on."""
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.ravel()
 
 
-def _merge(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, back = np.unique(key, return_inverse=True)
-    return key, np.bincount(back, weights=count, minlength=len(key)).astype(np.int64)
+def pack_ints(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of unsigned integers, each with its width in bytes, compressed."""
+    body = np.concatenate([planes(v, w) for v, w in columns])
+    head = np.array([len(columns), body.size, *(x for v, w in columns for x in (len(v), w))], "<u8")
+    return head.tobytes() + pa.compress(body.tobytes(), "zstd", asbytes=True)
 
 
-class Tally:
-    """Counts by key, gathered until they are passed on."""
+def unpack_ints(blob: bytes) -> list[np.ndarray]:
+    """The columns of pack_ints, as 64-bit integers."""
+    n, total = np.frombuffer(blob, "<u8", 2).tolist()
+    shape = np.frombuffer(blob, "<u8", 2 * n, 16).reshape(n, 2).tolist()
+    body = np.frombuffer(pa.decompress(blob[16 + 16 * n :], total, "zstd", asbytes=True), np.uint8) if total else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for size, width in shape:
+        out.append(np.ascontiguousarray(body[at : at + size * width].reshape(width, size).T).view(f"<u{width}").ravel().astype(np.uint64))
+        at += size * width
+    return out
 
-    def __init__(self) -> None:
-        self.keys, self.counts, self.size = [], [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        key, count = np.unique(keys, return_counts=True)
-        self.keys.append(key)
-        self.counts.append(count)
-        self.size += len(key)
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        out = _merge(np.concatenate(self.keys), np.concatenate(self.counts))
-        self.__init__()
-        return out
-
-
-def pack_keys(key: np.ndarray, count: np.ndarray) -> bytes:
-    """Sorted keys as differences, with counts, compressed."""
-    gap = np.diff(key, prepend=np.uint64(0))
-    body = np.concatenate([gap.view(np.uint8).reshape(-1, 8).T.ravel(), np.minimum(count, (1 << 32) - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
-    return len(key).to_bytes(8, "little") + body.size.to_bytes(8, "little") + pa.compress(body.tobytes(), "zstd", asbytes=True)
+def _gaps(key: np.ndarray) -> np.ndarray:
+    return np.diff(key, prepend=np.uint64(0))
 
 
-def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, size = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
-    body = np.frombuffer(pa.decompress(blob[16:], size, "zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
-    gap = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(gap, dtype=np.uint64), np.ascontiguousarray(body[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+def _thresholds() -> np.ndarray:
+    """The least count of each level from 1 on."""
+    out = list(range(1, EXACT + 1))
+    while out[-1] < 1 << 50:
+        out.append(max(out[-1] + 1, int(out[-1] * BASE)))
+    return np.array(out, np.int64)
 
 
-def pack_ints(values: np.ndarray) -> bytes:
-    """Integers of 0 to 2^32 - 1 by byte planes, compressed."""
-    body = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(values).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+LEAST = _thresholds()
 
 
-def unpack_ints(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    body = np.frombuffer(pa.decompress(blob[8:], 4 * n, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(body.reshape(4, n).T).view("<u4").ravel()
+def level_of(count: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LEAST, count, side="right")
 
 
-def level_of(count: np.ndarray, base: float = BASE) -> np.ndarray:
-    return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(base) + 1e-9).astype(np.int64)
-
-
-def count_of(level: np.ndarray, base: float = BASE) -> np.ndarray:
+def count_of(level: np.ndarray) -> np.ndarray:
     """The middle of a level's counts; 0 for level 0."""
-    low, high = np.ceil(base ** (level - 1.0) - 1e-9), np.maximum(np.ceil(base ** (level * 1.0) - 1e-9) - 1, np.ceil(base ** (level - 1.0) - 1e-9))
-    return np.where(level > 0, (low + high) / 2, 0.0)
+    level = np.minimum(level, len(LEAST) - 1)
+    return np.where(level > 0, (LEAST[np.maximum(level, 1) - 1] + LEAST[level] - 1) / 2, 0.0)
 
 
 class Filter:
-    """n_ranges blocks of block_bits bits; a key's range is given by its upper bits."""
-
-    def __init__(self, n_ranges: int, block_bits: int, bits: np.ndarray) -> None:
-        self.n_ranges, self.block_bits, self.bits = n_ranges, block_bits, bits
-
-    @staticmethod
-    def range_of(key: np.ndarray, n_ranges: int) -> np.ndarray:
-        return ((key >> np.uint64(24)) % np.uint64(n_ranges)).astype(np.int64)
+    """A block of the filter: bits at the places that hash functions give each held (key, level)."""
 
-    @staticmethod
-    def places(key: np.ndarray, level: int, j: int, block_bits: int) -> np.ndarray:
-        probe = np.uint64((level * _LEVEL + j * _HASH) & 0xFFFFFFFFFFFFFFFF)
-        return (mix(key * _PAIR + probe) % np.uint64(block_bits)).astype(np.int64)
-
-    @classmethod
-    def of(cls, key: np.ndarray, level: np.ndarray) -> Filter:
-        """One block, as large as the keys' levels need."""
-        bits = -(-max(1024, -(-BITS * int(level.sum()) * 5 // 4)) // 8) * 8
-        return cls(1, bits, np.frombuffer(cls.block(key, level, bits), np.uint8))
-
-    @classmethod
-    def block(cls, key: np.ndarray, level: np.ndarray, block_bits: int) -> bytes:
-        bits = np.zeros(block_bits, bool)
+    def __init__(self, key: np.ndarray, level: np.ndarray) -> None:
+        """As large as the keys' levels need."""
+        self.size = max(1024, BITS * int(level.sum()))
+        bits = np.zeros(self.size, bool)
+        rest, least = key, level
         for step in range(1, int(level.max(initial=0)) + 1):
-            some = key[level >= step]
-            for j in range(HASHES):
-                bits[cls.places(some, step, j, block_bits)] = True
-        return np.packbits(bits, bitorder="little").tobytes()
+            on = least >= step
+            rest, least = rest[on], least[on]
+            for at in self.places(rest, step):
+                bits[at] = True
+        self.bits = np.packbits(bits, bitorder="little")
+
+    def places(self, key: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        h = mix(key * _PAIR + np.uint64(level * _LEVEL & 0xFFFFFFFFFFFFFFFF))
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        for _ in range(HASHES):
+            yield (h % np.uint64(self.size)).astype(np.int64)
+            h = h + step * _PAIR
 
     def level(self, key: np.ndarray) -> np.ndarray:
         """The highest level up to which every level of the key is held, found by rising probes."""
-        out = np.zeros(len(key), np.int64)
-        base = self.range_of(key, self.n_ranges) * self.block_bits
-        alive = np.arange(len(key))
-        step = 1
-        while len(alive) and step < 100:
-            for j in range(HASHES):
-                at = base[alive] + self.places(key[alive], step, j, self.block_bits)
-                alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        out, alive, step = np.zeros(len(key), np.int64), np.arange(len(key)), 1
+        while len(alive) and step < len(LEAST):
+            held, now = np.ones(len(alive), bool), key[alive]
+            for at in self.places(now, step):
+                held &= self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+            alive = alive[held]
             out[alive] = step
             step += 1
         return out
 
 
-def score_documents(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, frequent: int = FREQUENT, range_bytes: int = RANGE_BYTES, chunk_tokens: int = CHUNK) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learned from train's texts.
+class Chunk:
+    """Some texts' tokens as places among their distinct words, and their distinct word pairs."""
 
-    A null text counts as empty: one token, its end. Repeated rows each get a row. With no training
-    text nothing is known and every token has probability 1 in the base. Empty docs give an empty
-    result. Other columns are ignored. most_bits bounds one block of the filter, not the filter.
-    """
-    spark = docs.sparkSession
-    pick = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs, train = pick(docs), pick(train)
+    def __init__(self, size: np.ndarray, train: np.ndarray, key: np.ndarray, check: np.ndarray, back: np.ndarray) -> None:
+        self.size, self.train, self.key, self.check, self.back = size, train, key, check, back
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for batch in steps(batches):
-            tally.add(tokens(batch.column("text"))[1])
-            if tally.size > FLUSH:
-                yield _rows(tally)
-        yield _rows(tally)
-
-    def _rows(tally: Tally) -> pa.RecordBatch:
-        key, count = tally.take()
-        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(count)], ["h", "c"])
-
-    counts = materialize(train.mapInArrow(words_of, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
-    by_level = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("l")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()
-    n_train, n_words = sum(r.n for r in by_level), sum(r.v for r in by_level)
-    held, least = 0, 62  # none is that frequent
-    for r in sorted(by_level, key=lambda r: -r.l):
-        if held + r.v > frequent:
-            break
-        held, least = held + r.v, r.l
-    table = counts.where(F.col("c") >= F.lit(1 << least)).toArrow()  # at most `frequent` rows
-    known = table["h"].to_numpy().astype(np.uint64), table["c"].to_numpy()
-    order = np.argsort(known[0])
-    frequent_sent = spark.sparkContext.broadcast((known[0][order], known[1][order]))
-    del table, known, order
-
-    length = F.sum(F.octet_length("text").cast("long")).alias("n")
-    size = max(df.agg(length).first()["n"] or 0 for df in (train, docs))
-    # an n-gram's level is at most its count, and a token ends two n-grams
-    n_ranges = max(16, -(-size // range_bytes), -(-2 * n_train * BITS * 5 // (4 * most_bits)))
-
-    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for batch in steps(batches):
-            text, h = tokens(batch.column("text"))
-            tally.add(np.concatenate([mix(h), pairs(text, h)]) >> _KEPT)
-            if tally.size > FLUSH:
-                yield _blobs(tally)
-        yield _blobs(tally)
-
-    def _blobs(tally: Tally) -> pa.RecordBatch:
-        key, count = tally.take()
-        rows = [(r, pack_keys(key[o], count[o])) for r, o in split(key)]
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([-1] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["r", "chunk", "blob"])
-
-    def split(key: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Of each range that has some of the keys, its number and their places."""
-        r = Filter.range_of(key, n_ranges).astype(np.uint16 if n_ranges <= 1 << 16 else np.int64)
-        order = np.argsort(r, kind="stable")
-        cuts = np.searchsorted(r[order], np.arange(n_ranges + 1))
-        return [(i, order[cuts[i] : cuts[i + 1]]) for i in range(n_ranges) if cuts[i] < cuts[i + 1]]
-
-    names = ["row", "doc_id", "n_tokens", "n_known", "base", "rare", "occurs", "chunk", "blob"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+    @classmethod
+    def of(cls, size: np.ndarray, train: np.ndarray, h: np.ndarray, g: np.ndarray) -> Chunk:
+        key, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if (g[first][back] != g).any():  # words that share the first half of their hashes
+            both, back = np.unique(np.stack([h, g], 1), axis=0, return_inverse=True)
+            return cls(size, train, both[:, 0].copy(), both[:, 1].copy(), back)
+        return cls(size, train, key, g[first], back)
+
+    def packed(self) -> bytes:
+        return pack_ints((self.size, 4), (self.train, 1), (_gaps(self.key), 8), (self.check, 8), (self.back, 4))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Chunk:
+        size, train, gaps, check, back = unpack_ints(blob)
+        return cls(size.astype(np.int64), train.astype(bool), np.cumsum(gaps, dtype=np.uint64), check, back.astype(np.int64))
+
+    def grams(self) -> None:
+        """Set the filter's keys of words and pairs, the tokens' places of the word before and the pair, and training counts."""
+        v = len(self.key)
+        end = int(np.flatnonzero((self.key == END) & (self.check == END))[0])
+        self.before = np.concatenate([[end], self.back[:-1]])
+        self.before[np.cumsum(self.size) - self.size] = end
+        code, self.pair = np.unique(self.before * v + self.back, return_inverse=True)
+        learned = np.repeat(self.train, self.size)
+        self.word_key = mix(self.key) >> _KEPT
+        self.pair_key = mix(self.key[code // v] * _PAIR + self.key[code % v]) >> _KEPT
+        self.word_count = np.bincount(self.back[learned], minlength=v)
+        self.pair_count = np.bincount(self.pair[learned], minlength=len(code))
+
+    def ranges(self, n_ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each range that has some of the n-grams its number, its words and its pairs, in the order they are sent."""
+        of = [range_of(key, n_ranges) for key in (self.word_key, self.pair_key)]
+        order = [np.lexsort((self.key, of[0])), np.lexsort((self.pair_key, of[1]))]
+        of = [r[o] for r, o in zip(of, order, strict=True)]
+        some = np.union1d(*of)
+        cuts = [(np.searchsorted(r, some), np.searchsorted(r, some, side="right")) for r in of]
+        for i, r in enumerate(some.tolist()):
+            yield r, *(o[low[i] : high[i]] for o, (low, high) in zip(order, cuts, strict=True))
+
+
+def range_of(key: np.ndarray, n_ranges: int) -> np.ndarray:
+    return ((key >> np.uint64(24)) % np.uint64(n_ranges)).astype(np.int64)
+
+
+class Counts:
+    """Counts by one or two key columns, put together from many sorted pieces."""
+
+    def __init__(self, width: int) -> None:
+        self.keys, self.count, self.loose = [np.zeros(0, np.uint64)] * width, np.zeros(0, np.int64), []
+
+    def add(self, *piece: np.ndarray) -> None:
+        """Key columns and counts; keys whose count is 0 are left out."""
+        on = piece[-1] > 0
+        if on.any():
+            self.loose.append([c[on] for c in piece])
+            if len(self.loose) >= 32:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.loose:
+            return
+        *keys, count = (np.concatenate(c) for c in zip([*self.keys, self.count], *self.loose, strict=True))
+        order = np.lexsort(keys[::-1])
+        keys, count = [k[order] for k in keys], count[order].astype(np.int64)
+        new = np.ones(len(count), bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        first = np.flatnonzero(new)
+        self.keys, self.count, self.loose = [k[first] for k in keys], np.add.reduceat(count, first), []
+
+    def find(self, *keys: np.ndarray) -> np.ndarray:
+        """The counts of the keys, 0 where there is none."""
+        out = np.zeros(len(keys[0]), np.int64)
+        if not len(self.count):
+            return out
+        at = np.searchsorted(self.keys[0], keys[0])
+        alive = np.arange(len(out))
+        while len(alive):  # of keys with an equal first half the one with the right second half
+            alive = alive[at[alive] < len(self.count)]
+            alive = alive[self.keys[0][at[alive]] == keys[0][alive]]
+            right = np.logical_and.reduce([k[at[alive]] == asked[alive] for k, asked in zip(self.keys, keys, strict=True)])
+            out[alive[right]] = self.count[at[alive[right]]]
+            alive = alive[~right]
+            at[alive] += 1
+        return out
+
+
+def score_documents(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = RANGE_TOKENS, chunk_tokens: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row, learned from the rows for which train holds.
+
+    train: a condition on the rows' columns; null counts as false. A null text counts as empty: one token,
+    its end. Repeated rows each count and each get a row. With no training text nothing is known and every
+    token has probability 1. Empty docs give an empty result. Other columns are ignored. A chunk's texts
+    are held in one worker, a text of more than chunk_tokens tokens makes a chunk of its own.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of texts with the base score, and of each chunk of texts its tokens as places in its sorted words."""
-        words, exact = frequent_sent.value
-        row, parts, held, n_tokens = TaskContext.get().partitionId() << 40, [], 0, 0
-
-        def chunk() -> Iterator[pa.RecordBatch]:
-            n = held
-            doc_id, text, h = (np.concatenate([part[i] for part in parts]) if i else pa.concat_arrays([part[0] for part in parts]) for i in range(3))
-            key, back = np.unique(h, return_inverse=True)
-            place = np.minimum(np.searchsorted(words, key), max(len(words) - 1, 0))
-            there = words[place] == key if len(words) else np.zeros(len(key), bool)
-            c = np.where(there, exact[place], 0) if len(words) else np.zeros(len(key), np.int64)
-            known = there[back]
-            base = np.bincount(text[known], weights=np.log10((c + 1) / space)[back][known], minlength=n).astype(float)
-            n_known = np.bincount(text[known], minlength=n)
-            # the other words, once for each text that holds them
-            group, occurs = np.unique(text[~known].astype(np.int64) * len(key) + back[~known], return_counts=True)
-            cut = np.searchsorted(group // len(key), np.arange(n + 1)).astype(np.int32)
-            rare = key[group % len(key)].astype(np.int64)
-            size = np.bincount(text, minlength=n)
-            columns = [pa.array(row + np.arange(n)), doc_id, pa.array(size), pa.array(n_known), pa.array(base), pa.ListArray.from_arrays(pa.array(cut), pa.array(rare)), pa.ListArray.from_arrays(pa.array(cut), pa.array(occurs))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.nulls(n, kind) for kind in kinds[7:]], names)
-            blob = pack_ints(np.concatenate([[n, len(key)], size, (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), back]))
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind) for kind in kinds[:7]] + [pa.array([row]), pa.array([blob], pa.binary())], names)
+        number, parts, held = TaskContext.get().partitionId() << 32, [], 0
+
+        def chunk() -> pa.RecordBatch:
+            ids, size, train, h, g = (pa.concat_arrays(c) if i == 0 else np.concatenate(c) for i, c in enumerate(zip(*parts, strict=True)))
+            learned = int(size[train].sum())
+            blob = Chunk.of(size, train, h, g).packed()
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(size.sum())]), pa.array([learned]), ids, pa.array([blob], pa.binary())], ["chunk", "n", "learned", "ids", "blob"])
 
         for batch in steps(batches):
-            text, h = tokens(batch.column("text"))
-            parts.append((batch.column("doc_id"), text + held, h))
-            held, n_tokens = held + batch.num_rows, n_tokens + len(h)
-            if n_tokens >= chunk_tokens:
-                yield from chunk()
-                row, parts, held, n_tokens = row + held, [], 0, 0
+            text, h, g = tokens(batch.column("text"))
+            parts.append((batch.column("doc_id"), np.bincount(text, minlength=batch.num_rows), batch.column("train").to_numpy(zero_copy_only=False).astype(bool), h, g))
+            held += len(h)
+            if held >= chunk_tokens:
+                yield chunk()
+                number, parts, held = number + 1, [], 0
         if parts:
-            yield from chunk()
-
-    def grams_held(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-        """A chunk's text sizes, distinct n-grams, each token's places of word, pair and word before in them, and their order by range."""
-        part = unpack_ints(blob).astype(np.int64)
-        n, v = part[:2].tolist()
-        size, high, low, back = np.split(part[2:], np.cumsum([n, v, v]))
-        key = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
-        end = int(np.searchsorted(key, END))
-        before = np.concatenate([[end], back[:-1]])
-        before[np.cumsum(size) - size] = end
-        code, gram_back = np.unique(before * v + back, return_inverse=True)
-        gram = np.concatenate([mix(key), mix(key[code // v] * _PAIR + key[code % v])]) >> _KEPT
-        return size, gram, np.stack([back, v + gram_back, before]), [(r, o[np.argsort(gram[o])]) for r, o in split(gram)]
+            yield chunk()
+
+    chunks = materialize(rows.mapInArrow(read, "chunk long, n long, learned long, ids array<long>, blob binary"), "chunks")
+    total = chunks.agg(F.sum("n").alias("n"), F.sum("learned").alias("learned"), F.count("*").alias("chunks")).first()
+    n_train = total.learned or 0
+    n_ranges = max(16, -(-(total.n or 0) // range_tokens))
+    n_parts, n_chunk_parts = min(n_ranges, MOST_PARTS), max(1, min(-(-total.chunks // PART_CHUNKS), MOST_PARTS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each chunk and range the n-grams, with how often the chunk's training texts hold them."""
         for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                _, gram, _, order = grams_held(blob.as_py())
-                blobs = [pack_keys(gram[o], np.zeros(len(o), np.int64)) for _, o in order]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in order], pa.int32()), pa.array([chunk] * len(order), pa.int64()), pa.array(blobs, pa.binary())], ["r", "chunk", "blob"])
+            for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+                chunk = Chunk.unpacked(blob.as_py())
+                chunk.grams()
+                sent = [(r, pack_ints((_gaps(chunk.key[w]), 8), (chunk.check[w], 8), (chunk.word_count[w], 4), (_gaps(chunk.pair_key[p]), 8), (chunk.pair_count[p], 4))) for r, w, p in chunk.ranges(n_ranges)]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in sent], pa.int64()), pa.array([number] * len(sent), pa.int64()), pa.array([b for _, b in sent], pa.binary())], ["r", "chunk", "blob"])
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by range, training ones first: their n-grams make the range's block, which tells the levels of the asked ones."""
-        now, keys, counts, loose, block, asked, n_asked = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], None, [], 0
+    def opened(blob: bytes) -> list[np.ndarray]:
+        h, g, c, pair, d = unpack_ints(blob)
+        return [np.cumsum(h, dtype=np.uint64), g, c.astype(np.int64), np.cumsum(pair, dtype=np.uint64), d.astype(np.int64)]
 
-        def settle() -> None:
-            nonlocal keys, counts, loose
-            if loose:
-                keys, counts = _merge(np.concatenate([keys, *(k for k, _ in loose)]), np.concatenate([counts, *(c for _, c in loose)]))
-                loose = []
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by range: all of a range's n-grams make its block, which then tells each chunk the levels of its own."""
+        now, held, words, pairs = None, [], Counts(2), Counts(1)
 
         def answers() -> Iterator[pa.RecordBatch]:
-            nonlocal asked, n_asked
-            if asked:
-                level = block.level(np.concatenate([k for _, k in asked])).astype(np.uint8)
-                cuts = np.cumsum([0, *(len(k) for _, k in asked)])
-                blobs = [pack_ints(level[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in asked], pa.int64()), pa.array([now] * len(asked), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "r", "blob"])
-                asked, n_asked = [], 0
+            if now is None:
+                return
+            words.settle()
+            pairs.settle()
+            word_level = level_of(words.count)
+            block = Filter(np.concatenate([mix(words.keys[0]) >> _KEPT, pairs.keys[0]]), np.concatenate([word_level, level_of(pairs.count)]))
+            asked, size = [], 0
+            for i, (number, blob) in enumerate(held):
+                asked.append((number, opened(blob)))
+                held[i] = None
+                size += len(asked[-1][1][0]) + len(asked[-1][1][3])
+                if size < FLUSH and i + 1 < len(held):
+                    continue
+                keys = [(mix(h) >> _KEPT, pair) for _, (h, _, _, pair, _) in asked]
+                level = block.level(np.concatenate([k for both in keys for k in both]))
+                cuts = np.cumsum([0, *(len(k) for both in keys for k in both)]).tolist()
+                blobs = [pack_ints((words.find(h, g), 8), (level[cuts[2 * j] : cuts[2 * j + 1]], 2), (level[cuts[2 * j + 1] : cuts[2 * j + 2]], 2)) for j, (_, (h, g, _, _, _)) in enumerate(asked)]
+                n = len(asked)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in asked], pa.int64()), pa.array([now] * n, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())], ["chunk", "r", "blob", "v", "q"])
+                asked, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([now]), pa.nulls(1, pa.binary()), pa.array([len(words.count)]), pa.array([float(count_of(word_level).sum())])], ["chunk", "r", "blob", "v", "q"])
 
         for batch in batches:
-            for r, chunk, blob in zip(batch.column("r").to_pylist(), batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+            for r, number, blob in zip(batch.column("r").to_pylist(), batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 if r != now:
                     yield from answers()
-                    now, keys, counts, loose, block = r, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], None
-                key, count = unpack_keys(blob.as_py())
-                if chunk < 0:
-                    loose.append((key, count))
-                    if len(loose) >= 32:
-                        settle()
-                    continue
-                if block is None:
-                    settle()
-                    block = Filter.of(keys, level_of(counts))
-                    keys, counts = keys[:0], counts[:0]
-                asked.append((chunk, key))
-                n_asked += len(key)
-                if n_asked > FLUSH // 8:
-                    yield from answers()
+                    now, held, words, pairs = r, [], Counts(2), Counts(1)
+                held.append((number, blob.as_py()))
+                h, g, c, pair, d = opened(held[-1][1])
+                words.add(h, g, c)
+                pairs.add(pair, d)
         yield from answers()
 
-    space = float(n_train + n_words + 1)
+    by_range = chunks.mapInArrow(ask, "r long, chunk long, blob binary").repartitionById(n_parts, F.pmod("r", F.lit(n_parts)).cast("int")).sortWithinPartitions("r", "chunk")
+    told = materialize(by_range.mapInArrow(probed, "chunk long, r long, blob binary, v long, q double"), "answers")
+    known = told.where("chunk IS NULL").agg(F.sum("v").alias("v"), F.sum("q").alias("q")).first()
+    n_words = known.v or 0
+    space, quantised = float(n_train + n_words + 1), (known.q or 0.0) + n_words + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by chunk and range, a chunk's tokens last."""
-        levels = []
+        got = []
         for batch in batches:
-            for chunk, r, blob in zip(batch.column("chunk").to_pylist(), batch.column("r").to_pylist(), batch.column("blob"), strict=True):
+            for number, r, blob, ids in zip(batch.column("chunk").to_pylist(), batch.column("r").to_pylist(), batch.column("blob"), batch.column("ids"), strict=True):
                 if r < n_ranges:
-                    levels.append(unpack_ints(blob.as_py()))
+                    got.append((r, unpack_ints(blob.as_py())))
                     continue
-                size, gram, at, order = grams_held(blob.as_py())
-                n, told = len(size), np.concatenate(levels)
-                levels = []
-                if len(told) != len(gram):
-                    raise RuntimeError(f"chunk {chunk}: {len(told)} levels of {len(gram)} n-grams")
-                count = np.empty(len(gram))
-                count[np.concatenate([o for _, o in order])] = count_of(told.astype(np.int64))
-                single, both, context = count[at]
-                text = np.repeat(np.arange(n), size)
-                unigram = (single + 1) / space
-                seen = np.maximum(context, both)
-                weight = seen / (seen + PRIOR)
-                p = np.where(both > 0, weight * both / np.maximum(seen, 1) + (1 - weight) * unigram, (1 - weight * 0.5) * unigram)
+                chunk = Chunk.unpacked(blob.as_py())
+                chunk.grams()
+                exact, word, pair = np.zeros(len(chunk.key), np.int64), np.zeros(len(chunk.key), np.int64), np.zeros(len(chunk.pair_key), np.int64)
+                asked = list(chunk.ranges(n_ranges))
+                if [r for r, _ in got] != [r for r, _, _ in asked]:
+                    raise RuntimeError(f"chunk {number}: answers of {len(got)} ranges of {len(asked)}")
+                for (_, w, p), (_, (c, a, b)) in zip(asked, got, strict=True):
+                    exact[w], word[w], pair[p] = c, a, b
+                got = []
+                n, back, before = len(chunk.size), chunk.back, chunk.before
+                text = np.repeat(np.arange(n), chunk.size)
+                single = count_of(word)
+                both = count_of(np.minimum(pair[chunk.pair], np.minimum(word[back], word[before])))
+                p = (both + PRIOR * ((single + 1) / quantised)[back]) / (single[before] + PRIOR)
                 total = np.bincount(text, weights=np.log10(np.minimum(p, 1.0)), minlength=n)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk + np.arange(n)), pa.array(total)], ["row", "score"])
-
-    texts = materialize(docs.mapInArrow(read, "row long, doc_id long, n_tokens long, n_known long, base double, rare array<long>, occurs array<long>, chunk long, blob binary"), "texts")
-    chunks = texts.where(F.col("chunk").isNotNull()).select("chunk", "blob")
-    by_range = train.mapInArrow(grams_of, "r int, chunk long, blob binary").unionByName(chunks.mapInArrow(ask, "r int, chunk long, blob binary")).repartitionById(n_ranges, F.col("r")).sortWithinPartitions("r", "chunk")
-    told = by_range.mapInArrow(probed, "chunk long, r int, blob binary")
-    by_chunk = told.unionByName(chunks.withColumn("r", F.lit(n_ranges).cast("int"))).repartition(n_ranges, "chunk").sortWithinPartitions("chunk", "r")
-    model = by_chunk.mapInArrow(score, "row long, score double")
-    scored = texts.where(F.col("row").isNotNull())
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "occurs")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.occurs").alias("o"))
-    c = F.coalesce("c", F.lit(0))
-    rest = rare.join(counts.where(F.col("c") < F.lit(1 << least)), "h", "left").groupBy("row").agg(F.sum(F.col("o") * F.log10((c + 1) / F.lit(space))).alias("more"), F.sum(F.when(c > 0, F.col("o")).otherwise(0)).alias("seen"))
-    out = scored.select("row", "doc_id", "n_tokens", "n_known", "base").join(rest, "row", "left").join(model, "row")
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+                base = np.bincount(text, weights=np.log10((exact + 1) / space)[back], minlength=n)
+                known = np.bincount(text, weights=(exact > 0)[back], minlength=n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(chunk.size), pa.array(known), pa.array(np.full(n, n_train, np.int64)), pa.array(base), pa.array(total)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    own = chunks.select("chunk", F.lit(n_ranges).cast("long").alias("r"), "blob", "ids")
+    answered = told.where("chunk IS NOT NULL").select("chunk", "r", "blob", F.lit(None).cast("array<long>").alias("ids"))
+    by_chunk = answered.unionByName(own).repartitionById(n_chunk_parts, F.pmod(F.xxhash64("chunk"), F.lit(n_chunk_parts)).cast("int")).sortWithinPartitions("chunk", "r")
+    return by_chunk.mapInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

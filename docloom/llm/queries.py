@@ -68,7 +68,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_documents(docs, docs.where(_crc_mod(7) != 2))
+    scored = score_documents(docs, _crc_mod(7) != 2)
     return scored.select("doc_id", (_crc_mod(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
