@@ -39,7 +39,7 @@ EXACT, BASE, HASHES, BITS = 16, 1.02, 5, 14
 #: Tokens of a range, tokens after which a chunk of texts asks for its n-grams' counts, n-grams probed at once, weight of the word's own probability.
 RANGE_TOKENS, CHUNK, FLUSH, PRIOR = 3 << 19, 1 << 20, 1 << 19, 8.0
 #: Partitions that ranges or chunks are dealt to at most, and chunks of a partition.
-MOST_PARTS, PART_CHUNKS = 1 << 14, 4
+MOST_PARTS, PART_CHUNKS = 1 << 14, 2
 _PAIR, _LEVEL = np.uint64(0x2545F4914F6CDD1D), 0x9E6C63D0676A9A99
 #: N-grams are held in the filter by the upper 48 bits of their hash.
 _KEPT = np.uint64(16)
@@ -136,6 +136,22 @@ class Filter:
         return out
 
 
+class Probe:
+    """Levels by probing a block; keys that many chunks ask for are probed once."""
+
+    def __init__(self, block: Filter, often: np.ndarray) -> None:
+        self.block, self.key = block, np.sort(often)
+        self.known = block.level(self.key)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return self.block.level(key)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        out, rest = self.known[at], np.flatnonzero(self.key[at] != key)
+        out[rest] = self.block.level(key[rest])
+        return out
+
+
 class Chunk:
     """Some texts' tokens as places among their distinct words, and their distinct word pairs."""
 
@@ -174,9 +190,10 @@ class Chunk:
     def ranges(self, n_ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of each range that has some of the n-grams its number, its words and its pairs, in the order they are sent."""
         of = [range_of(key, n_ranges) for key in (self.word_key, self.pair_key)]
-        order = [np.lexsort((self.key, of[0])), np.lexsort((self.pair_key, of[1]))]
-        of = [r[o] for r, o in zip(of, order, strict=True)]
-        some = np.union1d(*of)
+        order = [np.argsort(of[0], kind="stable"), np.lexsort((self.pair_key, of[1])) if n_ranges > 1 << 16 else np.argsort(of[1].astype(np.uint64) << np.uint64(48) | self.pair_key)]
+        of = [r[o] for r, o in zip(of, order, strict=True)]  # words are sorted by key already
+        edges = [r[np.flatnonzero(np.diff(r, prepend=-1))] for r in of]
+        some = np.union1d(*edges)
         cuts = [(np.searchsorted(r, some), np.searchsorted(r, some, side="right")) for r in of]
         for i, r in enumerate(some.tolist()):
             yield r, *(o[low[i] : high[i]] for o, (low, high) in zip(order, cuts, strict=True))
@@ -190,14 +207,15 @@ class Counts:
     """Counts by one or two key columns, put together from many sorted pieces."""
 
     def __init__(self, width: int) -> None:
-        self.keys, self.count, self.loose = [np.zeros(0, np.uint64)] * width, np.zeros(0, np.int64), []
+        self.keys, self.count, self.loose, self.size = [np.zeros(0, np.uint64)] * width, np.zeros(0, np.int64), [], 0
 
     def add(self, *piece: np.ndarray) -> None:
         """Key columns and counts; keys whose count is 0 are left out."""
         on = piece[-1] > 0
         if on.any():
             self.loose.append([c[on] for c in piece])
-            if len(self.loose) >= 32:
+            self.size += int(on.sum())
+            if self.size > max(len(self.count), FLUSH):  # so that every key is sorted a few times only
                 self.settle()
 
     def settle(self) -> None:
@@ -209,7 +227,7 @@ class Counts:
         new = np.ones(len(count), bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         first = np.flatnonzero(new)
-        self.keys, self.count, self.loose = [k[first] for k in keys], np.add.reduceat(count, first), []
+        self.keys, self.count, self.loose, self.size = [k[first] for k in keys], np.add.reduceat(count, first), [], 0
 
     def find(self, *keys: np.ndarray) -> np.ndarray:
         """The counts of the keys, 0 where there is none."""
@@ -287,7 +305,9 @@ def score_documents(docs: DataFrame, train: Column, *, id_col: str = "doc_id", t
             words.settle()
             pairs.settle()
             word_level = level_of(words.count)
-            block = Filter(np.concatenate([mix(words.keys[0]) >> _KEPT, pairs.keys[0]]), np.concatenate([word_level, level_of(pairs.count)]))
+            keys = np.concatenate([mix(words.keys[0]) >> _KEPT, pairs.keys[0]])
+            block = Filter(keys, np.concatenate([word_level, level_of(pairs.count)]))
+            probe = Probe(block, keys)
             asked, size = [], 0
             for i, (number, blob) in enumerate(held):
                 asked.append((number, opened(blob)))
@@ -296,7 +316,7 @@ def score_documents(docs: DataFrame, train: Column, *, id_col: str = "doc_id", t
                 if size < FLUSH and i + 1 < len(held):
                     continue
                 keys = [(mix(h) >> _KEPT, pair) for _, (h, _, _, pair, _) in asked]
-                level = block.level(np.concatenate([k for both in keys for k in both]))
+                level = probe(np.concatenate([k for both in keys for k in both]))
                 cuts = np.cumsum([0, *(len(k) for both in keys for k in both)]).tolist()
                 blobs = [pack_ints((words.find(h, g), 8), (level[cuts[2 * j] : cuts[2 * j + 1]], 2), (level[cuts[2 * j + 1] : cuts[2 * j + 2]], 2)) for j, (_, (h, g, _, _, _)) in enumerate(asked)]
                 n = len(asked)
