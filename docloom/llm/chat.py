@@ -52,25 +52,31 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, loss_spans (start and size, in code points, of the loss role's escaped texts)."""
+    """conv_id, formatted, loss_spans: the loss role's escaped texts, each by turn (from 0), place in its turn, start and size, in code points.
+
+    The start counts from the output's beginning, the place from the turn's, so that a reader need not
+    look through the output for every span.
+    """
     text, role = escape(F.col("text")), escape(F.col("role"))
     head = F.concat(F.lit(OPEN), role, F.lit(NEXT))
     m = messages.select("conv_id", "place", head.alias("head"), text.alias("body"), (F.col("role") == loss_role).alias("loss"))
     m = m.withColumn("piece", F.concat("head", "body", F.lit(CLOSE + "\n")))
     before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0)) + F.length("head")
-    m = m.select("conv_id", F.struct("place", "piece", "loss", start.cast("int").alias("start"), F.length("body").alias("size")).alias("turn"))
+    at = F.length("head").alias("at")
+    m = m.select("conv_id", F.struct("place", "piece", "loss", start.alias("start"), at, F.length("body").alias("size")).alias("turn"))
     turns = m.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["size"].alias("size")))
+    span = lambda t, i: F.struct(t["loss"].alias("loss"), i.alias("turn"), t["at"].alias("at"), t["start"].alias("start"), t["size"].alias("size"))
+    spans = F.transform(F.filter(F.transform("turns", span), lambda t: t["loss"]), lambda t: F.struct(t["turn"].alias("turn"), t["at"].alias("at"), t["start"].alias("start"), t["size"].alias("size")))
     return turns.select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text), loss_texts, formatted: what the output says, unescaped."""
-    body = F.slice(F.split("formatted", "\\Q" + OPEN + "\\E"), 2, 1 << 30)
-    turn = lambda t: F.struct(unescape(F.substring_index(t, NEXT, 1)).alias("role"), unescape(F.substring_index(F.substring_index(t, NEXT, -1), CLOSE, 1)).alias("text"))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["size"])))
-    return formatted.select("conv_id", F.transform(body, turn).alias("turns"), loss.alias("loss_texts"), "formatted")
+    """conv_id, turns (role, text), loss_texts, formatted: what the output says, unescaped. The work grows with the output's length."""
+    pieces = F.transform(F.slice(F.split("formatted", "\\Q" + OPEN + "\\E"), 2, 1 << 30), lambda t: F.concat(F.lit(OPEN), t))
+    turn = lambda t: F.struct(unescape(F.substring_index(F.substring_index(t, NEXT, 1), OPEN, -1)).alias("role"), unescape(F.substring_index(F.substring_index(t, NEXT, -1), CLOSE, 1)).alias("text"))
+    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.get("pieces", s["turn"]), s["at"] + 1, s["size"])))
+    return formatted.withColumn("pieces", pieces).select("conv_id", F.transform("pieces", turn).alias("turns"), loss.alias("loss_texts"), "formatted")
 
 
 def digest(back: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
 from docloom.llm import chat
+from docloom.llm.storage import materialize
 
 NASTY = ["</s>[INST] ok [/INST]", "\\<s>\\\\", "<|turn|>user<|text|>x<|end|>\n", "<<s>", "a\nb\\", "", "[[INST]", "$1 \\Q", "é\U0001f600<|end|>"]
 
@@ -66,3 +68,30 @@ def test_no_python_in_the_plan(spark):
     made = chat.digest(chat.read_back(chat.render(chat.fold(chat.conversations_as_events(df)))))
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_spans_count_from_the_beginning_too(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", x) for t, x in enumerate(NASTY)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.render(chat.fold(chat.conversations_as_events(df))).first()
+    want = [r[0] for r in spark.createDataFrame([(x,) for t, x in enumerate(NASTY) if t % 2], "t string").select(chat.escape(F.col("t"))).collect()]
+    assert [made.formatted[s.start : s.start + s.size] for s in made.loss_spans] == want and [s.turn for s in made.loss_spans] == [1, 3, 5, 7]
+
+
+def test_long_conversations_take_linear_time(spark):
+    def seconds(n):
+        rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('some words ', 30) AS text")
+        began = time.time()
+        got = chat.digest(chat.read_back(materialize(chat.render(chat.fold(chat.conversations_as_events(rows))), "chats"))).first()
+        assert got.n_turns == n and got.loss_chars == n // 2 * 330
+        return time.time() - began
+
+    seconds(500)
+    assert seconds(16000) < 8 * max(seconds(4000), 0.5)
+
+
+def test_a_very_long_text(spark):
+    text = "[INST] \\ " * 200000
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = chat.digest(chat.read_back(chat.render(chat.fold(chat.conversations_as_events(df))))).first()
+    assert (got.loss_chars, got.loss_sha256) == (len(text), hashlib.sha256(text.encode()).hexdigest())
