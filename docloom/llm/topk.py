@@ -11,23 +11,28 @@ competitive. The shards' k best are merged by one aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 #: Vectors in one shard block, and queries in one broadcast block (64 dimensions: 8 MB).
 SHARD_ROWS, QUERY_BLOCK = 8192, 16384
 #: Beyond this, sums of products could leave the integers that float64 holds exactly.
 EXACT = 2**53
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector is not null and holds finite components only, with a `v` of floor(256 x)."""
+    """Rows whose vector is not null and holds finite components only, as `v` in doubles."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return df.where(F.col(vector).isNotNull()).where(~bad).withColumn("v", F.transform(vector, lambda x: F.floor(F.lit(256.0) * x.cast("double"))))
+    return df.where(F.col(vector).isNotNull()).where(~bad).withColumn("v", F.transform(vector, lambda x: x.cast("double")))
 
 
 class Shard:
@@ -43,7 +48,7 @@ class Shard:
         """The k best (id, score) with a score of at least floor, but for rows whose id is own."""
         bound = np.where(query > 0, query * self.top, query * self.low)
         order = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0.0]])  # what the terms from i on can add at most
+        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], np.zeros(1, bound.dtype)])  # what the terms from i on can add at most
         allowed = np.flatnonzero(self.ids != own)
         if not allowed.size:
             return self.ids[:0], np.zeros(0)
@@ -67,19 +72,34 @@ class Shard:
         best = np.lexsort((self.ids[alive], -score))[:k]
         return self.ids[alive[best]], score[best]
 
-    def _sure(self, query: np.ndarray, terms: np.ndarray) -> float:
+    def _sure(self, query: np.ndarray, terms: np.ndarray) -> float | int:
         """What the given terms take away at most: a lower bound of their sum."""
         q = query[terms]
-        return float(np.where(q > 0, q * self.low[terms], q * self.top[terms]).sum())
+        return np.where(q > 0, q * self.low[terms], q * self.top[terms]).sum()
 
     @staticmethod
-    def _kth(scores: np.ndarray, k: int) -> float:
-        return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
+    def _kth(scores: np.ndarray, k: int) -> float | int:
+        if len(scores) < k:
+            return -np.inf
+        return (np.sort(scores) if scores.dtype == object else np.partition(scores, len(scores) - k))[len(scores) - k]
+
+
+def whole(values: np.ndarray) -> np.ndarray:
+    """floor(256 x) of doubles: as doubles where these are whole numbers that products can be summed of, else as Python's integers."""
+    with np.errstate(over="ignore"):
+        out = np.floor(256.0 * values)
+    if np.isfinite(out).all():
+        return out
+    return np.array([math.floor(256 * Fraction(x)) for x in values.ravel().tolist()], object).reshape(values.shape)
+
+
+def _exact(a: np.ndarray) -> np.ndarray:
+    return a if a.dtype == object else np.array([int(x) for x in a.ravel().tolist()], object).reshape(a.shape)
 
 
 def _matrix(parts: list[pa.RecordBatch], width: int) -> np.ndarray:
     flat = [p.column("v").flatten().to_numpy(zero_copy_only=False) for p in parts]
-    return np.concatenate(flat).astype(np.int64).reshape(sum(p.num_rows for p in parts), width)
+    return whole(np.concatenate(flat).reshape(sum(p.num_rows for p in parts), width))
 
 
 def _peak(values: np.ndarray) -> int:
@@ -94,7 +114,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
     component take no part, nor do those of another length than the query. A query with no candidate
     has no row; an empty table gives an empty result. Repeated ids: the query set keeps one row of an
     id, candidates keep all; rows with the query's own id are never its candidates. Ties go to the
-    smaller id. Other columns are ignored.
+    smaller id. Components of any finite size are computed exactly; scores beyond the 64-bit integers
+    are held at the largest or smallest of these. Other columns are ignored.
     """
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
@@ -123,10 +144,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
             def flush(width: int, parts: list[pa.RecordBatch]) -> None:
                 rows = asked_by_width.get(width, [])
                 ids, held = np.concatenate([p.column("id").to_numpy() for p in parts]), _matrix(parts, width)
-                asked = np.array([v for _, v in rows], dtype=np.int64).reshape(len(rows), width)
-                kind = np.float64 if width * _peak(held) * _peak(asked) < EXACT else object  # object: Python's integers
-                block = Shard(ids, held.astype(kind))
-                for (q, _), v in zip(rows, asked.astype(kind), strict=True):
+                asked = whole(np.array([v for _, v in rows], dtype=float).reshape(len(rows), width))
+                if width * _peak(held) * _peak(asked) >= EXACT:
+                    held, asked = _exact(held), _exact(asked)
+                block = Shard(ids, held)
+                for (q, _), v in zip(rows, asked, strict=True):
                     got = best.get(q, [])
                     found, scores = block.search(v, q, k, got[-1][0] if len(got) >= k else -np.inf)
                     best[q] = sorted(got + [(int(s), int(x)) for x, s in zip(found, scores, strict=True)], key=lambda x: (-x[0], x[1]))[:k]
@@ -142,12 +164,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
                             flush(int(width), held.pop(int(width)))
             for width, parts in held.items():
                 flush(width, parts)
-            rows = [(q, x, s) for q, found in best.items() for s, x in found]
+            rows = [(q, x, min(max(s, LEAST), MOST)) for q, found in best.items() for s, x in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
 
         part = base.mapInArrow(shard, schema)
+        if len(cuts) > 1:  # one block at a time: neither driver nor workers hold two
+            part = materialize(part, "top-k")
+            sent.unpersist()
         out = part if out is None else out.unionByName(part)
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("x")))), 1, k)
+    # (-1 - score) rises as the score falls, and has a value for every score
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((F.lit(-1) - F.col("score")).alias("s"), F.col("vec_id").alias("x")))), 1, k)
     merged = out.groupBy("query_id").agg(ranked.alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.x").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    return merged.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.x").alias("vec_id"), (F.lit(-1) - F.col("hit.s")).alias("score"))

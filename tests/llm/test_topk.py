@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 
@@ -6,7 +7,7 @@ from docloom.llm.topk import Shard, top_k
 
 
 def brute(rows, queries, k):
-    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * Fraction(float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in {i: v for i, v in ok if i in queries}.items():
         found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok if i != q)[:k]
@@ -32,6 +33,38 @@ def test_large_components_and_few_rows(spark):
     assert got == brute(rows, {2}, 5)
 
 
+def test_components_of_any_size(spark):
+    big = [1e18, -1e18, 3e17, 1e300, -1e300, 1.7e308, 5e-324, -5e-324, 0.0, 2.0**60]
+    rnd = np.random.default_rng(8)
+    rows = [(i, [float(rnd.choice(big)) if rnd.random() < 0.5 else float(rnd.normal()) for _ in range(3)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = top_k(docs, docs.where("vec_id % 5 = 0"), k=4, shard_rows=16)
+    held = [(q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in brute(rows, set(range(0, 60, 5)), 4)]
+    # scores beyond 64 bits are equal where they were not: the smaller id is then first
+    want = {}
+    for q, _, i, s in held:
+        want.setdefault(q, []).append(s)
+    have = {}
+    for q, r, i, s in sorted(map(tuple, got.collect())):
+        have.setdefault(q, []).append(s)
+    assert have == want
+
+
+def test_generated_shards_equal_brute_force():
+    for seed in range(1500):
+        rnd = np.random.default_rng(seed)
+        n, d, k = int(rnd.integers(1, 40)), int(rnd.integers(1, 6)), int(rnd.integers(1, 6))
+        columns = rnd.integers(-6, 7, (n, d)) * (rnd.random((n, d)) < 0.8)
+        one = rnd.integers(-1, 2, d)  # columns of one sign
+        columns = np.where(one > 0, np.abs(columns), np.where(one < 0, -np.abs(columns), columns)).astype(float)
+        query = (rnd.integers(-6, 7, d) * (rnd.random(d) < 0.6)).astype(float)
+        own = int(rnd.integers(0, n + 5))
+        want = sorted((-s, i) for i, s in enumerate((columns @ query).tolist()) if i != own)[:k]
+        for kind in (float, object):
+            ids, scores = Shard(np.arange(n), np.array(columns.astype(int).tolist(), kind)).search(np.array(query.astype(int).tolist(), kind), own, k)
+            assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)] == want, (seed, kind)
+
+
 def test_zero_weights_and_columns_of_one_sign():
     query = np.array([0.0, 256.0, 256.0])
     for seed in range(30):
