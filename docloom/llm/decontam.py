@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item of n characters may be quoted with up to k = rate * n edits. Cut into k + 1 pieces, at
-least one piece is then in the text as it is. All pieces' beginnings are looked up at every position
+A test item of n bytes of UTF-8 may be quoted with up to k = rate * n edits of a byte. Cut into k + 1
+pieces, at least one piece is then in the text as it is. All pieces' beginnings are looked up at every position
 of every whole text by a rolling hash, a hit is compared exactly, and the item is verified around it
 with Myers's bit-parallel edit distance, the item's ends being fixed and the text's free.
 Items and texts are compared with A-Z lower-cased and runs of white space as one space.
@@ -105,7 +105,7 @@ class Matcher:
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b > a:
                     places.setdefault(b - a, []).append((n, a, b))
-        self.patterns = [Myers(text) if text else None for _, text in items]
+        self.patterns: dict[int, Myers] = {}
         self.known: dict[tuple[int, bytes], tuple[int, int]] = {}
         self.groups = []
         sizes = sorted(places)
@@ -154,17 +154,19 @@ class Matcher:
             self.known.clear()
         text = self.items[n][1]
         at = window.find(text)
+        if at < 0 and n not in self.patterns:
+            self.patterns[n] = Myers(text)
         out = self.known[n, window] = (0, at + len(text)) if at >= 0 else self.patterns[n].best(window)
         return out
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size. Only one block is held by the driver at a time."""
+    """The items in blocks of bounded size, all texts of an id in one block. Only one block is held by the driver at a time."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     n = -(-size // block_bytes)
     for b in range(n):
-        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
+        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect()]
 
 
 def _matcher(block: list[tuple[int, str]], rate: float, piece: int) -> Matcher:
@@ -178,8 +180,8 @@ def find_quotes(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
 
     Items are a stated set, broadcast in blocks of bounded size against all whole texts; items with a
     null id or a null or blank text take no part, nor do null texts. An item shorter than two pieces
-    must be there exactly. Repeated rows of a text give repeated rows; repeated items give one.
-    Other columns are ignored.
+    must be there exactly. Repeated rows of a text give repeated rows; repeated items, and items of equal
+    id, give one row with the fewest edits. Empty tables give an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
@@ -209,7 +211,11 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, piece: int = PIECE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs whose text quotes no item; null texts stay; the same columns."""
+    """The rows of docs whose text quotes no item, all of them with the same columns.
+
+    Null and empty texts stay, repeated rows all stay or all go, ids play no part. With no items every
+    row stays; an empty table gives an empty result.
+    """
     spark, at = docs.sparkSession, docs.columns.index(text_col)
     for block in _blocks(items, item_id, item_text, block_bytes):
         sent = spark.sparkContext.broadcast(sorted(set(block)))

@@ -79,3 +79,21 @@ def test_empty(spark):
     b = spark.createDataFrame([(1, "some text")], "item_id long, text string")
     assert find_quotes(d, b.where("false")).collect() == [] and find_quotes(d.where("false"), b).collect() == []
     assert drop_contaminated(d, b.where("false")).count() == 1 and find_quotes(d, b).count() == 1
+
+
+def test_items_of_equal_id_give_one_row(spark):
+    d = spark.createDataFrame([(1, "first quoted passage of words, second quoted passage of words"), (None, "first quoted passage of words"), (2, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "first quoted passage of words"), (7, "second quoted passage of w0rds"), (7, "first quoted passage of words"), (None, "second")], "item_id long, text string")
+    for block_bytes in (4 << 20, 8):
+        got = sorted(((r.doc_id or 0, r.item_id, r.edits) for r in find_quotes(d, b, block_bytes=block_bytes).collect()))
+        assert got == [(0, 7, 0), (1, 7, 0)]
+
+
+def test_very_long_texts_and_items(spark):
+    rnd = random.Random(4)
+    item = " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(3000))
+    near = item[:7000] + "X" + item[7003:]
+    d = spark.createDataFrame([(1, "some words " * 100000 + near + " and more" * 1000), (2, "some words " * 100000)], "doc_id long, text string")
+    b = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.edits) for r in find_quotes(d, b).collect()] == [(1, 5, 3)]
+    assert [r.doc_id for r in drop_contaminated(d, b).collect()] == [2]
