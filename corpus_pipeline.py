@@ -3,40 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import language_id, secret_scan
 from docloom.llm.decontam import drop_contaminated
 from docloom.llm.jaccard import jaccard_components
 from docloom.llm.packing import pack
 from docloom.llm.queries import byte_bpe, learned_language_model, tiktoken_vocabulary
-from docloom.llm.storage import materialize, table
+from docloom.llm.storage import clear, mark, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language can be told; those without letters or without a clear language go."""
+    """The rows whose words are told apart by language; those without letters (null texts, too) or without a clear language go.
+
+    Each row is judged by itself, ids play no part: repeated rows all stay or all go. An empty table gives an empty result.
+    """
     return language_id.keep_identified(docs, learned_language_model(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more."""
-    found = jaccard_components(docs, size=5, num=8, den=10)
-    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group linked by five-word shingles at 0.8 or more: that of the smallest id, of equal ids the first.
+
+    Rows are told apart by a number, not by their id: of repeated rows one stays, rows of equal or null id
+    are compared like any others, null ids coming last. Rows with null or blank text are in no group and stay.
+    An empty table gives an empty result.
+    """
+    row = "row_number"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    found = jaccard_components(numbered, size=5, num=8, den=10, id_col=row).select(F.col("doc_id").alias("at"), "component_id")
+    groups = found.where("component_id <> at").select("component_id").distinct()
+    members = materialize(found.join(groups, "component_id", "left_semi").join(numbered.select(F.col(row).alias("at"), F.col("doc_id").alias("id")), "at"), "near-copies")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("best")).select(F.col("best.at").alias("at"))
+    copies = members.join(best, "at", "left_anti").select(F.col("at").alias(row))
+    return numbered.join(copies, row, "left_anti").select(docs.columns)
 
 
 def benchmark_quotes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that quote no benchmark item."""
+    """The rows whose text quotes no benchmark item. Null and empty texts stay, repeated rows all stay or all go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced and n_chars set anew where that changed it."""
+    """All rows, with the secrets in their texts replaced and n_chars set anew where that changed it. Null texts stay null."""
     size_col = "n_chars" if "n_chars" in docs.columns else None
     return secret_scan.scrub(docs, *tiktoken_vocabulary(), size_col=size_col)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the kept documents in sequences of 1024 tokens, mixed by source."""
+    """The pieces of the kept rows in sequences of 1024 tokens, mixed by source. A null text is an end id, a null source a source."""
     return pack(docs, byte_bpe())
 
 
@@ -47,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other, each on what the one before kept; a stage's intermediate tables go once it is written."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, since, keep=docs)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
-        if small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty():
-            break
+        same = small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty()
+        discard(now, large)
         now = small
+        if same:
+            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())

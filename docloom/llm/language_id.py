@@ -21,6 +21,8 @@ from .vectext import char_classes, mix, span_hash, steps
 
 #: Hashed features, words of a chain, labelled texts of each language and words of them that training takes at most.
 FEATURES, CHAIN, TRAIN_TEXTS, TRAIN_WORDS = 1 << 18, 64, 400, 100_000
+#: Bytes of a text that training takes, and languages that it learns, at most: the most frequent ones.
+TRAIN_BYTES, LANGUAGES = 1 << 18, 256
 UNKNOWN = "und"
 
 
@@ -123,14 +125,16 @@ class Model:
         marginal, _ = forward_backward(table, self.transition, np.bincount(chain, minlength=len(table)))
         return text, marginal[chain, place % CHAIN]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Each text's language, its mean share of the words, and how sure the words are: the mean of each one's likeliest label."""
         if not self.labels:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         text, each = self.words(texts)
         count = np.bincount(text, minlength=len(texts))
         mean = np.stack([np.bincount(text, weights=each[:, k], minlength=len(texts)) for k in range(len(self.labels))], 1) / np.maximum(count, 1)[:, None]
         best = mean.argmax(1)
-        return [self.labels[b] if c else UNKNOWN for b, c in zip(best, count, strict=True)], np.where(count > 0, np.clip(mean.max(1), 0, 1), 0.0)
+        sure = np.bincount(text, weights=each.max(1), minlength=len(texts)) / np.maximum(count, 1)
+        return [self.labels[b] if c else UNKNOWN for b, c in zip(best, count, strict=True)], np.where(count > 0, np.clip(mean.max(1), 0, 1), 0.0), sure
 
 
 def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 2, batch: int = 64, rate: float = 0.3, most_words: int = TRAIN_WORDS) -> Model:
@@ -191,9 +195,13 @@ def _stretches(begin: int, end: int, rnd: np.random.Generator) -> Iterator[tuple
 
 
 def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_TEXTS) -> Model:
-    """Fit on at most about twice per_language texts of each language, chosen by a hash of the id."""
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    rates = {r.l: max(1, r["count"] // per_language) for r in rows.groupBy("l").count().collect()}
+    """Fit on at most about twice per_language texts of each language, chosen by a hash of the id.
+
+    Texts of more than TRAIN_BYTES are not taken; of more than LANGUAGES labels only the most frequent are
+    learned. Rows without text or label play no part; with none left nothing is learned.
+    """
+    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where(f"octet_length(t) <= {TRAIN_BYTES} AND l IS NOT NULL")
+    rates = {r.l: max(1, r["count"] // per_language) for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()}
     if not rates:
         return train([], [])
     rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("l")]
@@ -211,20 +219,50 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            lang, score = sent.value.predict([t or "" for t in batch.column("text").to_pylist()])
+            lang, score, _ = sent.value.predict([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
+def label_words(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, words (array of start, end, lang, score): every word of code-switched text with its likeliest language.
+
+    Places count code points. A null text, or one without letters, has no words, nor has any text where
+    nothing was learned. One row for each row; other columns are ignored.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            _, text, start, end = letter_words(texts)
+            if not sent.value.labels:
+                text, start, end = text[:0], start[:0], end[:0]
+            each = sent.value.words(texts)[1] if len(text) else np.zeros((0, 1))
+            shift = np.cumsum([0, *(len(t) + 1 for t in texts)])[text]
+            names = np.array(sent.value.labels or [UNKNOWN], object)[each.argmax(1)]
+            flat = pa.StructArray.from_arrays([pa.array((start - shift).astype(np.int32)), pa.array((end - shift).astype(np.int32)), pa.array(names, pa.string()), pa.array(each.max(1, initial=0.0))], fields=list(kind))
+            cuts = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), flat)], ["doc_id", "words"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(work, "doc_id long, words array<struct<start:int,end:int,lang:string,score:double>>")
+
+
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows whose language is told with a score of at least least; the same columns."""
+    """The rows whose words are sure of their languages, by at least least in the mean; the same columns.
+
+    A text that mixes languages stays if its words are clear. Null texts, those without letters and,
+    where nothing was learned, all texts go. Rows are judged one by one: repeated ones all stay or all go.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text_col):
-            lang, score = sent.value.predict([t or "" for t in batch.column(text_col).to_pylist()])
-            yield batch.filter(pa.array((np.array(lang) != UNKNOWN) & (score >= least)))
+            lang, _, sure = sent.value.predict([t or "" for t in batch.column(text_col).to_pylist()])
+            yield batch.filter(pa.array((np.array(lang) != UNKNOWN) & (sure >= least)))
 
     return docs.mapInArrow(work, docs.schema)

@@ -47,7 +47,7 @@ def test_short_chains_ignore_padding():
 def test_held_out_accuracy_and_code_switching():
     model = L.train(*zip(*texts(1, 150), strict=True))
     held = texts(2, 90)
-    lang, score = model.predict([t for t, _ in held])
+    lang, score, _ = model.predict([t for t, _ in held])
     assert np.mean([a == b for a, (_, b) in zip(lang, held, strict=True)]) > 0.97 and ((score >= 0) & (score <= 1)).all()
     mixed = "balomi romiba lolo " * 3 + "schung eitkan ungeit " * 3
     _, each = model.words([mixed])
@@ -67,3 +67,20 @@ def test_queries_shape(spark):
     nothing = L.learn(docs.where("false"))
     assert {(r.lang_pred, r.score) for r in L.identify(docs, nothing).collect()} == {("und", 0.0)}
     assert L.identify(docs.where("false"), model).collect() == []
+
+
+def test_labelled_words(spark):
+    model = L.train(*zip(*texts(1, 150), strict=True))
+    mixed = " balomi, romiba lolo " + "schung eitkan ungeit"
+    docs = spark.createDataFrame([(mixed, 1, 0), (None, 2, 0), ("12 !", 3, 0), (mixed, 1, 0), ("\U0001f600 balomi " * 3000, 4, 0)], "text string, doc_id long, words int").coalesce(1)
+    got = L.label_words(docs, model).collect()
+    assert [r.doc_id for r in got] == [1, 2, 3, 1, 4] and got[0] == got[3] and got[1].words == got[2].words == []
+    assert [mixed[w.start : w.end] for w in got[0].words] == mixed.replace(",", " ").split() and [w.lang for w in got[0].words] == ["aa"] * 3 + ["bb"] * 3
+    assert len(got[4].words) == 3000 and got[4].words[1].start == 11 and all(0 <= w.score <= 1 for w in got[4].words)
+    assert all(r.words == [] for r in L.label_words(docs, L.train([], [])).collect())
+
+
+def test_a_mixed_text_is_kept(spark):
+    model = L.train(*zip(*texts(1, 150), strict=True))
+    docs = spark.createDataFrame([(1, "balomi romiba lolo " * 4 + "schung eitkan ungeit " * 4)], "doc_id long, text string")
+    assert L.keep_identified(docs, model, least=0.8).count() == 1 and L.identify(docs, model).first().score < 0.8
