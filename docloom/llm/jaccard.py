@@ -8,11 +8,13 @@
    then has too few parts signs all its parts as they are with all shingles, too. Of the sets with a
    common signature, those go to one cluster that a bitmap of their shingles' parities lets pass: it
    differs in at most as many bits as the sets do in shingles.
+   Signatures that very many sets share are cut into blocks of sets, and pairs of blocks go to tasks of their own.
 3. T-occurrence search within a cluster: an inverted index of its sets; for a query set, the short lists
-   are merged and counted, the long ones are probed by binary search for what is still within reach
-   (DivideSkip), and sets that reach the required overlap are linked. Clusters beyond a bound are cut
-   into blocks that are searched apart; documents that don't link to the cluster's pivot are searched
-   against all of the cluster's blocks.
+   are merged by a heap, which counts each set's occurrences, the long ones are probed by binary search
+   for what is still within reach (DivideSkip), and sets that reach the required overlap are linked.
+   No link comes about in another way. Clusters beyond a bound are cut into blocks that are searched apart;
+   documents that don't link to the cluster's pivot are searched in those other blocks that hold a set
+   whose bitmap lets them pass.
 Only links that can join two components are looked for: a set already linked to the pivot's component
 needs no search of its own. Copies and near copies therefore cost a row each, not a pair each.
 """
@@ -20,6 +22,8 @@ needs no search of its own. Copies and near copies therefore cost a row each, no
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +39,10 @@ from .vectext import Words, mix, shingles, steps
 
 #: Documents of the sample, and how many of them make a shingle or a signature frequent.
 SAMPLE, HOT = 4096, 8
-#: Shingles in one block of a cluster, and bits of the bitmap of cluster members (8 MB).
-BLOCK, BITMAP = 1 << 20, 1 << 26
+#: Shingles and sets in one block of a cluster, sets of one signature in a block, bits of a set's parities, and bits of the bitmap of cluster members (8 MB).
+BLOCK, BLOCK_SETS, GROUP, SKETCH, BITMAP = 1 << 18, 192, 1024, 1 << 16, 1 << 26
+#: Documents that are searched in another block by one task.
+TURN = 256
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -164,10 +170,11 @@ class Index:
         n_long = min(need - 1, int(need / (0.01 * math.log2(int(length[-1]) + 1) + 1)))
         n_long = min(n_long, int((length > 4).sum()))  # probing pays for long lists only
         short, long = place[: len(place) - n_long], place[len(place) - n_long :]
-        merged = np.concatenate([self.lists[self.begin[p] : self.begin[p + 1]] for p in short])
-        count = np.bincount(merged, minlength=len(self.sizes))
-        alive = np.flatnonzero((count >= need - n_long) & fits)
-        count = count[alive]
+        merged = heapq.merge(*(self.lists[self.begin[p] : self.begin[p + 1]].tolist() for p in short.tolist()))
+        counted = [(x, n) for x, run in itertools.groupby(merged) if (n := sum(1 for _ in run)) >= need - n_long and fits[x]]
+        if not counted:
+            return np.zeros(0, np.int64)
+        alive, count = np.array(counted, np.int64).T
         required = self.rule.overlap(size, self.sizes[alive])
         for i, p in enumerate(long[::-1] if n_long else ()):
             members = self.lists[self.begin[p] : self.begin[p + 1]]
@@ -201,8 +208,8 @@ def block_labels(ids: list[int], sets: list[np.ndarray], rule: Rule) -> list[int
 
 
 def sketch(members: np.ndarray) -> bytes:
-    """A bit for each residue of the shingles, odd or even; as many bits as shingles, a power of two from 64 on."""
-    bits = 1 << max(6, int(len(members) - 1).bit_length())
+    """A bit for each residue of the shingles, odd or even; as many bits as shingles, a power of two from 64 to SKETCH."""
+    bits = min(1 << max(6, int(len(members) - 1).bit_length()), SKETCH)
     return np.packbits(np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -259,13 +266,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], size: int) -> It
         yield now, held
 
 
-def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Runs of rows with equal keys."""
+    rows = itertools.chain.from_iterable(batch.to_pylist() for batch in batches)
+    for key, run in itertools.groupby(rows, lambda r: tuple(r[k] for k in keys)):
+        yield key, list(run)
+
+
+def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, block: int = BLOCK, block_sets: int = BLOCK_SETS, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
     A set holds the distinct runs of size words (A-Z lower-cased, words [^\\x20\\x09-\\x0D]+); with fewer
     words, the whole sequence as one. A null or blank text has an empty set and links with nothing. Rows
     with a null id are left out; repeated ids give repeated rows, and an id carries the links of all its texts. An empty table gives an
-    empty result. Shingles are compared by 64-bit hash. Other columns are ignored.
+    empty result. Shingles are compared by 64-bit hash. Components only are returned: links that would not
+    join two components are not looked for. Other columns are ignored.
     """
     spark, rule = docs.sparkSession, Rule(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
@@ -326,14 +341,15 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
 
     out = "sig long, node long, pivot long"
     known_sets = classes.select("node", "n", "sketch").dropDuplicates(["node"])
-    common = picked.mapInArrow(signed, out).join(F.broadcast(classes.join(F.broadcast(chosen.withColumnRenamed("doc_id", "rep")), "rep").select("node", "n", "sketch")), "node")
-    common = common.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "n", "sketch"))).alias("rows")).where(F.size("rows") >= HOT).orderBy("sig").collect()
+    common = picked.mapInArrow(signed, out).groupBy("sig").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") >= HOT).orderBy("sig").collect()
     # A frequent signature whose sets are near copies of the first ties all its sets to that one, right where they are signed.
+    about = {r.node: (r.n, bytes(r.sketch)) for r in classes.join(F.broadcast(chosen.withColumnRenamed("doc_id", "rep")), "rep").select("node", "n", "sketch").collect()} if common else {}
     tied = []
     for r in common:
-        table, sizes = _aligned([bytes(x.sketch) for x in r.rows]), np.array([x.n for x in r.rows], np.int64)
+        held = [(n, *about[n]) for n in r.nodes if n in about]
+        table, sizes = _aligned([x for _, _, x in held]), np.array([n for _, n, _ in held], np.int64)
         if near(rule, int(sizes[0]), table[0], sizes, table).mean() >= 0.9:
-            tied.append((r.sig, r.rows[0].node))
+            tied.append((r.sig, held[0][0]))
     pivots = spark.sparkContext.broadcast((np.array([x for x, _ in tied], np.int64), np.array([x for _, x in tied], np.int64)))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +377,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(np.full(int(keep.sum()), None), pa.int64())], ["sig", "node", "pivot"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by signature, with size and sketch."""
+        """Rows sorted by signature and pair of blocks, with size and sketch."""
         now, held = None, []
 
         def done() -> pa.RecordBatch:
@@ -371,11 +387,11 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "node", "n", "sketch")), strict=True):
-                if sig != now:
+            for sig, part, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "part", "node", "n", "sketch")), strict=True):
+                if (sig, part) != now:
                     if len(held) > 1:
                         yield done()
-                    now, held = sig, []
+                    now, held = (sig, part), []
                 held.append(row)
         if len(held) > 1:
             yield done()
@@ -383,14 +399,20 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
     every = rows.mapInArrow(lambda it: signed(it, pivots), out)
     dealt = every.repartition(F.coalesce("sig", F.xxhash64("node", "pivot"))).sortWithinPartitions("sig", "node")
     shared = materialize(dealt.mapInArrow(runs, out).distinct(), "shared-signatures")
-    groups = shared.where("pivot IS NULL").join(known_sets, "node").select("sig", "node", "n", "sketch")
-    found = groups.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(edges, "a long, b long")
+    shared_sigs = shared.where("pivot IS NULL")
+    large = shared_sigs.groupBy("sig").count().where(F.col("count") > group).select("sig", F.ceil(F.col("count") / group).cast("int").alias("blocks"))
+    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pair = lambda x: F.least(x, place) * F.col("blocks") + F.greatest(x, place)
+    parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
+    dealt = shared_sigs.join(large, "sig", "left").select("sig", "node", F.explode(parts).alias("part"))
+    groups = dealt.join(known_sets, "node").select("sig", "part", "node", "n", "sketch")
+    found = groups.repartition("sig", "part").sortWithinPartitions("sig", "part", "node").mapInArrow(edges, "a long, b long")
     clusters = connected_components(found.unionByName(shared.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
 
     members = classes.drop("sketch").join(clusters.withColumnRenamed("label", "cluster"), "node").select("cluster", F.col("rep").alias("doc_id"), "n")
     members = materialize(members, "members")
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("n"), F.min("doc_id").alias("pivot")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = members.drop("n").join(sizes.drop("n"), "cluster")
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("n"), F.min("doc_id").alias("pivot"), F.count("*").alias("sets")).withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("sets") / block_sets)).cast("int"))
+    placed = members.drop("n").join(sizes.drop("n", "sets"), "cluster")
     spread = F.when((F.col("doc_id") == F.col("pivot")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     placed = placed.withColumn("block", F.explode(spread))
     source = _likely(rows, members).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -408,7 +430,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
     labels = found.select("doc_id", "label")
     n_alone = alone.count()
     if n_alone:
-        labels = _across(found, alone, keyed, rule, size, block)
+        labels = _across(found, alone, keyed, classes.select(F.col("rep").alias("doc_id"), "n", "sketch"), rule, size)
     labels = labels.groupBy("doc_id").agg(F.min("label").alias("component_id"))
     by_class = classes.drop("sketch").join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     return each.join(by_class, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -439,17 +461,41 @@ def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
     return marked.mapInArrow(keep, "doc_id long, text string")
 
 
-def _across(found: DataFrame, alone: DataFrame, texts: DataFrame, rule: Rule, size: int, block: int) -> DataFrame:
-    """Labels of all blocks' members once the documents outside the pivots' components were searched in every block."""
-    queries = alone.groupBy("cluster").agg(F.count("*").alias("q")).withColumn("turns", F.ceil(F.col("q") / 1024).cast("int")).drop("q")
+def _across(found: DataFrame, alone: DataFrame, texts: DataFrame, sketches: DataFrame, rule: Rule, size: int) -> DataFrame:
+    """Labels of all blocks' members once the documents outside the pivots' components were searched in the other blocks."""
+    queries = alone.groupBy("cluster").agg(F.count("*").alias("q")).withColumn("turns", F.ceil(F.col("q") / TURN).cast("int")).drop("q")
     data = found.join(queries, "cluster").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("role", F.lit(0))
-    asked = alone.join(queries, "cluster").withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.col("turns")).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-    columns = ["cluster", "block", "turn", "role", "doc_id", "label"]
-    work = data.select(columns).unionByName(asked.select(columns)).join(texts, "doc_id").repartition("cluster", "block", "turn").sortWithinPartitions("cluster", "block", "turn", "role", "doc_id")
+    asked = alone.withColumnRenamed("block", "own").join(queries, "cluster").withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.col("turns")).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").withColumn("role", F.lit(1))
+    columns, keys = ["cluster", "block", "turn", "role", "doc_id", "label"], ["cluster", "block", "turn"]
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*keys).sortWithinPartitions(*keys, "role", "doc_id")
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By size and sketch: the asked documents that some set of the block may link with, and the sets that some may."""
+        for _, held in _runs(batches, keys):
+            data, some = [r for r in held if r["role"] == 0], [r for r in held if r["role"] == 1]
+            if not data or not some:
+                continue
+            table = _aligned([r["sketch"] for r in held])
+            sizes, labels = np.array([r["n"] for r in data], np.int64), np.array([r["label"] for r in data], np.int64)
+            needed, out = np.zeros(len(data), bool), []
+            for i, r in enumerate(some, len(data)):
+                hit = near(rule, r["n"], table[i], sizes, table[: len(data)]) & (labels != r["label"])
+                if hit.any():
+                    needed |= hit
+                    out.append(r)
+            out = [data[i] for i in np.flatnonzero(needed)] + out
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int32() if c in ("block", "turn", "role") else pa.int64()) for c in columns], columns)
+
+    rows = data.select(columns).unionByName(asked.select(columns))
+    kept = materialize(dealt(rows.join(sketches, "doc_id")).mapInArrow(passed, "cluster long, block int, turn int, role int, doc_id long, label long"), "across")
+    work = dealt(kept.join(texts, "doc_id"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _groups(batches, ["cluster", "block", "turn"], size):
+        for _, held in _groups(batches, keys, size):
             data = [(r["label"], s) for r, s in held if r["role"] == 0]
             index, labels = Index([s for _, s in data], rule), np.array([x for x, _ in data], np.int64)
             pairs = {(r["label"], int(x)) for r, s in held if r["role"] == 1 for x in np.unique(labels[index.search(s)])}

@@ -76,7 +76,7 @@ def test_components_equal_brute_force(spark, monkeypatch):
         rows = corpus(seed, 150)
         monkeypatch.setattr(jaccard, "HOT", 3 if seed % 2 else 8)
         docs = spark.createDataFrame([(t, i, 7) for i, t in rows], "text string, doc_id long, n_shingles long")
-        got = jaccard_components(docs, size=size, num=num, den=den, sample=40, block=block)
+        got = jaccard_components(docs, size=size, num=num, den=den, sample=40, block=block, block_sets=5 if seed > 2 else 192, group=4 if seed > 1 else 1024)
         assert sorted(map(tuple, got.collect())) == brute(rows, size, num, den)
 
 
@@ -86,3 +86,33 @@ def test_empty_and_repeated(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None)]
     got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, schema)).collect()))
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
+def test_strings_made_to_collide_are_not_linked(spark):
+    tm = lambda a, b, n: "".join(b if i.bit_count() & 1 else a for i in range(n))
+    rows = [(1, tm("a", "b", 2048)), (2, tm("b", "a", 2048)), (3, tm("b", "a", 2048)), (4, tm("x", "y", 1024) + " q"), (5, tm("y", "x", 1024) + " q")]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (4, 1, 4), (5, 1, 5)]
+
+
+def test_a_large_group_of_near_copies(spark):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(150)]
+    rows = []
+    for i in range(400):  # a chain of changes: many are not linked with the first
+        at = rnd.randrange(len(base))
+        if i % 5 == 0:
+            base = [*base[:at], f"v{i}", *base[at + 1 :]]
+        text = list(base)
+        text[rnd.randrange(len(text))] = f"u{i}"
+        rows.append((i, " ".join(text)))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=5, num=8, den=10, block_sets=50, group=60)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 8, 10)
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(6)
+    words = [f"w{rnd.randint(0, 9999)}" for _ in range(60000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:58000])), (3, " ".join(words[:40000])), (4, "x" * 500000)]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows, 5, 8, 10)
