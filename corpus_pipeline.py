@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import language_id, secret_scan
 from docloom.llm.decontam import drop_contaminated
-from docloom.llm.jaccard import jaccard_components
+from docloom.llm.jaccard import jaccard_components, without
 from docloom.llm.packing import pack
 from docloom.llm.queries import byte_bpe, learned_language_model, tiktoken_vocabulary
 from docloom.llm.storage import clear, mark, materialize, table
@@ -32,12 +32,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     while row in docs.columns:
         row += "_"
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
-    found = jaccard_components(numbered, size=5, num=8, den=10, id_col=row).select(F.col("doc_id").alias("at"), "component_id")
-    groups = found.where("component_id <> at").select("component_id").distinct()
-    members = materialize(found.join(groups, "component_id", "left_semi").join(numbered.select(F.col(row).alias("at"), F.col("doc_id").alias("id")), "at"), "near-copies")
-    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("best")).select(F.col("best.at").alias("at"))
-    copies = members.join(best, "at", "left_anti").select(F.col("at").alias(row))
-    return numbered.join(copies, row, "left_anti").select(docs.columns)
+    found = jaccard_components(numbered, size=5, num=8, den=10, id_col=row).withColumnRenamed("doc_id", row)
+    members = materialize(found.select(row, "component_id").join(numbered.select(row, F.col("doc_id").alias("id")), row), "near-copies")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", row)).alias("best"))
+    copies = materialize(members.join(best.select(f"best.{row}"), row, "left_anti").select(row), "copies")
+    return without(numbered, copies, row).select(docs.columns)
 
 
 def benchmark_quotes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from .vectext import Words, mix, shingles, steps
 #: Documents of the sample, and how many of them make a shingle or a signature frequent.
 SAMPLE, HOT = 4096, 8
 #: Shingles and sets in one block of a cluster, sets of one signature in a block, bits of a set's parities, and bits of the bitmap of cluster members (8 MB).
-BLOCK, BLOCK_SETS, GROUP, SKETCH, BITMAP = 1 << 18, 192, 1024, 1 << 16, 1 << 26
+BLOCK, BLOCK_SETS, GROUP, SKETCH, BITMAP = 1 << 18, 192, 8192, 1 << 16, 1 << 26
 #: Documents that are searched in another block by one task.
 TURN = 256
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -436,6 +436,21 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
     return each.join(by_class, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id_col, not null, isn't among ids (one column of that name, not null).
+
+    A bitmap of fixed size (8 MB) tells the rows whose id may be there, and only these are shuffled for the exact join.
+    """
+    place = F.pmod(F.xxhash64(id_col), F.lit(BITMAP)) + 1
+    bitmap = ids.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    marked = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)}).join(F.broadcast(bitmap), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.expr("shiftright(_byte, CAST(_bit & 7 AS INT)) & 1") == 1, F.lit(False))
+    marked = marked.withColumn("_byte", byte).withColumn("_maybe", maybe)
+    rest = marked.where("_maybe").select(rows.columns).join(ids, id_col, "left_anti")
+    return marked.where("NOT _maybe").select(rows.columns).unionByName(rest.select(rows.columns))
+
+
 def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
     """The rows whose id may be a member's, told by a bitmap of fixed size: other texts need not be shuffled.
 

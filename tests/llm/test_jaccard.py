@@ -116,3 +116,13 @@ def test_very_long_texts(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:58000])), (3, " ".join(words[:40000])), (4, "x" * 500000)]
     got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == brute(rows, 5, 8, 10)
+
+
+def test_rows_without_some_ids(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS k", "concat('t', id) AS text").repartition(3)
+    for bits in (1 << 26, 1 << 16):
+        monkeypatch.setattr(jaccard, "BITMAP", bits)
+        for gone in (docs.where("k % 7 = 0").select("k"), docs.where("false").select("k"), docs.select("k")):
+            want = {r.k for r in docs.collect()} - {r.k for r in gone.collect()}
+            got = jaccard.without(docs, gone, "k")
+            assert got.columns == docs.columns and {(r.k, r.text) for r in got.collect()} == {(k, f"t{k}") for k in want}
