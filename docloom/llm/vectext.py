@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import ctypes
 import hashlib
 import sys
 import unicodedata
@@ -30,7 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches' rows, cut so that a step's texts take at most limit bytes or are one row."""
+    """The batches' rows, cut so that a step's texts take at most limit bytes or are one row.
+
+    After the last one the worker's free memory goes back to the machine: the next task may run in another worker.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -40,6 +44,20 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at, base = to, int(ends[to - 1])
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        return lambda _: 0
+
+
+def _trim() -> None:
+    _libc()(0)
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
