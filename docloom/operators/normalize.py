@@ -1,31 +1,42 @@
-"""Normalising stored Markdown, as columns over lines: fence parity and blank runs are windows."""
+"""Normalising stored Markdown, row by row: no exchange, and rows need no key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import re
+
+from pyspark.sql import DataFrame
 
 from docloom.functions import rules as R
-from docloom.functions.dialect import SPARK
-
-
-def with_normalized(df: DataFrame, key: str, markdown: str = "markdown", to: str = "body") -> DataFrame:
-    """df with a column more: one exchange on the key serves both windows and the assembly.
-
-    key must tell rows apart. A null text gives a null; an empty one gives one line feed.
-    """
-    lines = df.where(F.col(markdown).isNotNull()).select(F.col(key).alias("k"), F.expr(R.lines(SPARK, f"replace({markdown}, '\\r', '')")).alias("ls"))
-    lines = lines.select("k", F.posexplode("ls").alias("pos", "line"))
-    clean = SPARK.sub(R.rtrim(SPARK, "line"), R.INVISIBLE)
-    lines = lines.withColumn("clean", F.expr(clean)).withColumn("fence", F.expr(SPARK.has("clean", f"^{R.WS}*```")))
-    order = Window.partitionBy("k").orderBy("pos")
-    inside = F.coalesce(F.sum(F.col("fence").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    lines = lines.withColumn("inside", inside)
-    shown = F.when(F.col("inside"), F.col("line")).when(F.col("fence"), F.col("clean")).otherwise(F.expr(R.trim(SPARK, "clean")))
-    lines = lines.withColumns({"shown": shown, "blank": ~F.col("inside") & ~F.col("fence") & F.expr(R.blank(SPARK, "clean"))})
-    lines = lines.withColumn("again", F.col("blank") & F.coalesce(F.lag("blank").over(order), F.lit(False))).where(~F.col("again"))
-    joined = lines.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("ls"))
-    joined = joined.select("k", F.array_join(F.transform("ls", lambda x: x["shown"]), "\n").alias("md"))
-    body = F.concat(F.expr(R.rtrim(SPARK, "md")), F.lit("\n"))
-    out = df.join(joined.select(F.col("k").alias("__k"), body.alias("__b")), F.col(key) == F.col("__k"), "left")
-    return out.withColumn(to, F.when(F.col(markdown).isNotNull(), F.coalesce("__b", F.lit("\n")))).drop("__k", "__b")
+from docloom.operators.text_markdown import _per_row
+from docloom.operators.textrules import SPACES
+
+_HIDDEN = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), R.INVISIBLE))
+
+
+def normalized(markdown: str) -> str:
+    """Lines trimmed, invisible characters gone and runs of blank lines as one, but for what lies inside code fences."""
+    out: list[str] = []
+    inside = blank = False
+    lines = markdown.replace("\r", "").split("\n")
+    if lines[-1] == "":
+        lines.pop()
+    for line in lines:
+        clean = _HIDDEN.sub("", line.rstrip(SPACES))
+        fence = clean.lstrip(SPACES).startswith("```")
+        if inside and not fence:
+            out.append(line)
+            blank = False
+            continue
+        bare = clean.strip(SPACES)
+        if fence:
+            out.append(line if inside else clean)
+            inside, blank = not inside, False
+        elif bare or not blank:
+            out.append(bare)
+            blank = not bare
+    return "\n".join(out).rstrip(SPACES) + "\n"
+
+
+def with_normalized(df: DataFrame, markdown: str = "markdown", to: str = "body") -> DataFrame:
+    """df with a column more. A null text gives a null; an empty one gives one line feed. Rows are worked on one by one, whatever their keys."""
+    return _per_row(df, markdown, to, "string", normalized)

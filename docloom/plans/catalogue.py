@@ -62,7 +62,7 @@ def pdf_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a text file: converted, normalised, measured, named, and listed."""
     docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("file_seq"), F.concat("source", F.lit(" Report.txt")).alias("source_file"), "text")
-    made = with_normalized(with_text_markdown(docs), "file_seq").drop("text", "markdown")
+    made = with_normalized(with_text_markdown(docs)).drop("text", "markdown")
     made.createOrReplaceTempView("converted_texts")
     ext = R.extension(SPARK, "source_file")
     base = f"concat({R.slug(SPARK, 'source_file')}, '-', {ext})"

@@ -46,8 +46,7 @@ class Rejected(Exception):
 def converted(spark: SparkSession, listing: list, options: Options) -> DataFrame:
     """One row a file: names, status, messages, body (normalised), stored text and raw bytes."""
     made = convert_files(read_files(spark, listing, options.max_file_size_bytes), options.timeout_seconds, repair_word_breaks=options.repair_word_breaks, escape=options.escape_tables, **options.extra)
-    made = made.persist()  # conversion is costly and several results come from it
-    rows = with_normalized(made, "file_seq", "markdown", "body")
+    rows = with_normalized(made)
     rows = rows.withColumn("status", R.column(R.status, "error_code", "warning"))
     rows = rows.withColumn("user_message", R.column(R.message, "error_code", "warning"))
     exported = F.col("status").isin("good", "partial")
@@ -107,7 +106,14 @@ def run_job(spark: SparkSession, inputs: list[str], output: str, options: Option
         raise Rejected("VALIDATION_ERROR", f"{len(listing)} files exceed the limit of {options.max_files}.")
     if progress:
         progress(0, len(listing), None)
-    rows = converted(spark, listing, options).persist()
+    rows = converted(spark, listing, options).persist()  # conversion is costly and several results come from it
+    try:
+        return _export(rows, inputs, output, options, len(listing), progress)
+    finally:
+        rows.unpersist()
+
+
+def _export(rows: DataFrame, inputs: list[str], output: str, options: Options, n_files: int, progress: Callable[[int, int, str | None], None] | None) -> dict:
     shown = rows.select("file_seq", "source_file", "source_type", "status", "output_file", "error_code", "warning", "user_message", F.coalesce(F.octet_length("body"), F.lit(0)).alias("markdown_bytes"))
     files = shown.orderBy("file_seq").collect()  # metadata only, at most max_files rows
     counts = summary(rows).first().asDict()
@@ -119,14 +125,13 @@ def run_job(spark: SparkSession, inputs: list[str], output: str, options: Option
             _write(output, f"data/{r['name'].removesuffix('.md')}.csv", bytes(r.raw_data))
         done += 1
         if progress:
-            progress(done, len(listing), r.source_file)
+            progress(done, n_files, r.source_file)
     _write(output, "README.md", GUIDE.encode())
     _write(output, "index.md", index_text(files).encode())
     _write(output, "conversion-report.md", report_text(files).encode())
     _write(output, "manifest.json", manifest_text(files, options.converted_by).encode())
     zip_path = os.path.join(os.path.dirname(os.path.abspath(output)), options.zip_name or os.path.splitext(os.path.basename(os.path.abspath(output)))[0] + ".zip")
     _archive(output, zip_path)
-    rows.unpersist()
     total, failed, partial = counts["total_files"], counts["failed"], counts["partial"]
     if options.strict_exit:
         failed += counts["unsupported"]

@@ -25,12 +25,17 @@ def listy(d):
     return f"(SELECT doc_id, pos, {R.trim(d, f'concat({mark}, CASE WHEN pos % 3 = 0 THEN lower(line) ELSE line END)')} AS line FROM {lines_of(d, 'documents')} AS q0)"
 
 
+def _beside(d, made):
+    """All lines as they are, and beside them made-up ones, under ids below zero."""
+    return f"(SELECT doc_id, pos, line FROM {lines_of(d, 'documents')} AS q0 UNION ALL SELECT -1 - doc_id AS doc_id, pos, {made} AS line FROM {lines_of(d, 'documents')} AS q1)"
+
+
 def toc_lines(d):
-    return f"(SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN concat(substring(line, 1, 40), '  ', CAST(pos AS STRING)) ELSE line END AS line FROM {lines_of(d, 'documents')} AS q0)"
+    return _beside(d, "CASE WHEN pos % 2 = 0 THEN concat(line, '  ', CAST(pos AS STRING)) ELSE concat(substring(line, 1, 40), '  ', CAST(pos AS STRING)) END")
 
 
 def marker_lines(d):
-    return f"(SELECT doc_id, pos, CASE pos % 5 WHEN 0 THEN '(iv)' WHEN 1 THEN 'Page 3' WHEN 2 THEN 'page +44444444444' WHEN 3 THEN '( XIV )' ELSE line END AS line FROM {lines_of(d, 'documents')} AS q0)"
+    return _beside(d, "CASE pos % 5 WHEN 0 THEN '(iv)' WHEN 1 THEN 'Page 3' WHEN 2 THEN 'page +44444444444' WHEN 3 THEN '( XIV )' ELSE concat('page ', line) END")
 
 
 def soft_wrapped(d):
@@ -250,13 +255,14 @@ def all_caps(d):
 
 
 def subtitles(d):
-    return f"SELECT doc_id, pos, line FROM (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN concat('(', substring(line, 1, 60), ')') ELSE line END AS line FROM {lines_of(d, 'documents')} AS q0) AS q WHERE {R.subtitle(d, 'line')}"
+    made = "CASE WHEN pos % 3 = 0 THEN concat('(', substring(line, 1, 60), ')') ELSE concat('(', line, ')') END"
+    return f"SELECT doc_id, pos, line FROM {_beside(d, made)} AS q WHERE {R.subtitle(d, 'line')}"
 
 
 def _roster(d):
     """Lines under a roster heading up to the first that ends the section: the running state as windows."""
     line = f"CASE WHEN pos % 6 = 0 THEN 'Panel' WHEN pos % 6 = 4 THEN concat(line, '.') ELSE {d.sub('substring(line, 1, 30)', '[. ]+$')} END"
-    marked = f"(SELECT doc_id, pos, line, lower({R.heading_title(d, 'line')}) IN {R.quoted(d, R.ROSTER_LABELS)} AS opens, {R.heading_level(d, 'line')} IS NOT NULL AS heading, {R.roster_line(d, 'line')} AS fits FROM (SELECT doc_id, pos, {line} AS line FROM {lines_of(d, 'documents')} AS q0) AS q)"
+    marked = f"(SELECT doc_id, pos, line, lower({R.heading_title(d, 'line')}) IN {R.quoted(d, R.ROSTER_LABELS)} AS opens, {R.heading_level(d, 'line')} IS NOT NULL AS heading, {R.roster_line(d, 'line')} AS fits FROM {_beside(d, line)} AS q)"
     over = "OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     state = f"(SELECT *, max(CASE WHEN opens THEN pos END) {over} AS opened, max(CASE WHEN (heading AND NOT coalesce(opens, false)) OR (NOT heading AND NOT fits) THEN pos END) {over} AS closed FROM {marked} AS m)"
     return f"(SELECT * FROM {state} AS s WHERE NOT heading AND fits AND opened IS NOT NULL AND opened > coalesce(closed, -1))"

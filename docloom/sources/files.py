@@ -44,14 +44,22 @@ def list_files(inputs: list[str], recursive: bool = False) -> list[tuple[int, st
             walk(given)
         elif os.path.isfile(given) and not os.path.basename(given).startswith("."):
             found.append(given)
-    return [(i, os.path.abspath(p), os.path.basename(p), os.path.getsize(p)) for i, p in enumerate(found)]
+    return [(i, os.path.abspath(p), os.path.basename(p), _size(p)) for i, p in enumerate(found)]
+
+
+def _size(path: str) -> int:
+    """A file's bytes, -1 where they can't be told: it then fails by itself, not the job."""
+    try:
+        return os.path.getsize(path)
+    except OSError:
+        return -1
 
 
 def read_files(spark: SparkSession, listing: list[tuple[int, str, str, int]], max_bytes: int = R.MAX_FILE_BYTES) -> DataFrame:
     """The listing with extension, error code and content. What fails by name or size is not read."""
     rows = spark.createDataFrame(listing, LISTING)
     rows = rows.withColumn("source_type", R.column(R.extension, "source_file"))
-    rows = rows.withColumn("error_code", F.expr(R.file_error(SPARK, "source_type", "length", max_bytes)))
+    rows = rows.withColumn("error_code", F.coalesce(F.expr(R.file_error(SPARK, "source_type", "length", max_bytes)), F.when(F.col("length") < 0, F.lit("CONVERSION_FAILED"))))
     wanted = [p for _, p, name, size in listing if 0 < size <= max_bytes and os.path.splitext(name)[1].lower().lstrip(".") in R.EXTENSIONS]
     # Spark's file index hides names that start with an underscore, however they are given
     odd = [p for p in wanted if os.path.basename(p).startswith("_")]

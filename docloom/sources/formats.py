@@ -94,6 +94,7 @@ def from_md(data: bytes, **_) -> Converted:
 
 def from_csv(data: bytes, **options) -> Converted:
     """A table of all rows under the first; a row of another width fails the file. Cells stand as they are unless escape."""
+    csv.field_size_limit(MAX_ENTRY)  # a cell may be as large as its file
     try:
         rows = [r for r in csv.reader(io.StringIO(decode(data), newline=""), strict=False) if r]
     except csv.Error as e:
@@ -270,14 +271,15 @@ def from_epub(data: bytes, **_) -> Converted:
 
 _PDF_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _PDF_STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.S)
-_PDF_TEXT = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|-?\d*\.?\d+|T\*|[A-Za-z'\"]+", re.S)
+_PDF_TEXT = re.compile(rb"/[^\s/\[\]()<>{}%]+|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|-?\d*\.?\d+|T\*|[A-Za-z'\"]+", re.S)
 _PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _pdf_string(token: bytes) -> str:
+def _pdf_string(token: bytes, font: CMap | None = None) -> str:
     if token.startswith(b"<"):
-        digits = re.sub(rb"[^0-9A-Fa-f]", b"", token)
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        raw = _hex(token)
+        if font:
+            return font.decode(raw)
         return raw[2:].decode("utf-16-be", "replace") if raw.startswith(codecs.BOM_UTF16_BE) else raw.decode("latin-1")
 
     def plain(m: re.Match) -> bytes:
@@ -286,17 +288,56 @@ def _pdf_string(token: bytes) -> str:
             return bytes([int(code, 8) & 255])
         return b"" if code in (b"\n", b"\r\n") else _PDF_ESCAPES.get(code, code)
 
-    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", plain, token[1:-1], flags=re.S).decode("latin-1")
-
-
-def pdf_content_text(content: bytes) -> str:
+    raw = re.sub(rb"\\([0-7]{1,3}|\r\n|.)", plain, token[1:-1], flags=re.S)
+    return font.decode(raw) if font else raw.decode("latin-1")
+
+
+class CMap:
+    """What a font's codes stand for: code strings of given widths to text."""
+
+    def __init__(self, source: bytes) -> None:
+        self.text: dict[bytes, str] = {}
+        self.widths = sorted({len(_hex(a)) for block in re.findall(rb"begincodespacerange(.*?)endcodespacerange", source, re.S) for a in re.findall(rb"<([^>]*)>", block)}) or [1]
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", source, re.S):
+            for a, b in re.findall(rb"<([^>]*)>\s*<([^>]*)>", block):
+                self.text[_hex(a)] = _hex(b).decode("utf-16-be", "replace")
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", source, re.S):
+            for a, b, to, each in re.findall(rb"<([^>]*)>\s*<([^>]*)>\s*(?:<([^>]*)>|\[(.*?)\])", block, re.S):
+                low, high, width = int.from_bytes(_hex(a), "big"), int.from_bytes(_hex(b), "big"), len(_hex(a))
+                texts = [_hex(x) for x in re.findall(rb"<([^>]*)>", each)]
+                for i, code in enumerate(range(low, min(high, low + 0xFFFF) + 1)):
+                    if texts:
+                        made = texts[i] if i < len(texts) else None
+                    else:  # the last 16 bits count up
+                        made = _hex(to)[:-2] + ((int.from_bytes(_hex(to)[-2:], "big") + i) & 0xFFFF).to_bytes(2, "big")
+                    if made is not None:
+                        self.text[code.to_bytes(width, "big")] = made.decode("utf-16-be", "replace")
+
+    def decode(self, raw: bytes) -> str:
+        out, i = [], 0
+        while i < len(raw):
+            width = next((w for w in self.widths if raw[i : i + w] in self.text), self.widths[0])
+            out.append(self.text.get(raw[i : i + width], ""))
+            i += width
+        return "".join(out)
+
+
+def _hex(digits: bytes) -> bytes:
+    digits = re.sub(rb"[^0-9A-Fa-f]", b"", digits)
+    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+
+def pdf_content_text(content: bytes, fonts: dict[bytes, CMap] | None = None) -> str:
     """What a content stream's text operators show; moving to another line starts a new one."""
-    out, stack = [], []
+    out, stack, font = [], [], None
     for token in _PDF_TEXT.findall(content):
-        if token in (b"Tj", b"TJ", b"'", b'"'):
+        if token == b"Tf":
+            font = (fonts or {}).get(next((t for t in stack if t[:1] == b"/"), b""))
+            stack = []
+        elif token in (b"Tj", b"TJ", b"'", b'"'):
             if token in (b"'", b'"'):
                 out.append("\n")
-            out += [_pdf_string(t) if t[:1] in b"(<" else " " if float(t) < -200 else "" for t in stack if t[:1] in b"(<" or (token == b"TJ" and re.fullmatch(rb"-?\d*\.?\d+", t))]
+            out += [_pdf_string(t, font) if t[:1] in b"(<" else " " if float(t) < -200 else "" for t in stack if t[:1] in b"(<" or (token == b"TJ" and re.fullmatch(rb"-?\d*\.?\d+", t))]
             stack = []
         elif token in (b"Td", b"TD"):
             out.append("\n" if len(stack) >= 2 and float(stack[-1] if re.fullmatch(rb"-?\d*\.?\d+", stack[-1]) else 0) else " ")
@@ -311,39 +352,94 @@ def pdf_content_text(content: bytes) -> str:
     return re.sub("\n+", "\n", "".join(out)).strip()
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """The text of each page, for plain and Flate-coded content streams with one-byte fonts. Object streams are not read."""
-    if not data.lstrip().startswith(b"%PDF"):
-        raise Failure("CONVERSION_FAILED")
-    if re.search(rb"/Encrypt\b", data):
-        raise Failure("PASSWORD_PROTECTED")
-    objects = {int(m[1]): m[2] for m in _PDF_OBJECT.finditer(data)}
+def _inflated(data: bytes) -> bytes:
+    """Flate-coded bytes, as far as they can be read; more than an entry may hold fails the file."""
+    reader = zlib.decompressobj()
+    try:
+        out = reader.decompress(data, MAX_ENTRY)
+    except zlib.error:
+        return b""
+    if reader.unconsumed_tail:
+        raise Failure("ZIP_BOMB_DETECTED")
+    return out
+
+
+_REF = re.compile(rb"(\d+)\s+\d+\s+R")
+
 
-    def stream(number: int) -> bytes:
-        m = _PDF_STREAM.match(objects.get(number, b""))
+class Pdf:
+    """The objects of a PDF file, those in object streams, too."""
+
+    def __init__(self, data: bytes) -> None:
+        self.objects = {int(m[1]): m[2] for m in _PDF_OBJECT.finditer(data)}
+        for number in [n for n, b in self.objects.items() if re.search(rb"/Type\s*/ObjStm\b", b)]:
+            count, first = (re.search(rb"/%s\s+(\d+)" % key, self.objects[number]) for key in (b"N", b"First"))
+            held = self.stream(number)
+            if not (count and first and held):
+                continue
+            head = [int(x) for x in re.findall(rb"\d+", held[: int(first[1])])][: 2 * int(count[1])]
+            at = [int(first[1]) + x for x in head[1::2]] + [len(held)]
+            for i, n in enumerate(head[0::2]):
+                if i + 1 < len(at):
+                    self.objects.setdefault(n, held[at[i] : at[i + 1]])
+
+    def stream(self, number: int) -> bytes:
+        m = _PDF_STREAM.match(self.objects.get(number, b""))
         if not m:
             return b""
-        if b"FlateDecode" not in m[1]:
-            return m[2]
-        try:
-            return zlib.decompressobj().decompress(m[2], MAX_ENTRY)
-        except zlib.error:
-            return b""
+        return _inflated(m[2]) if b"FlateDecode" in m[1] else m[2]
 
-    def pages(number: int, seen: set[int]) -> list[int]:
-        body = objects.get(number, b"")
-        kids = re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)
+    def pages(self, number: int, seen: set[int]) -> list[int]:
+        kids = re.search(rb"/Kids\s*\[(.*?)\]", self.objects.get(number, b""), re.S)
         if not kids or number in seen:
             return [number]
-        return [p for k in re.findall(rb"(\d+)\s+\d+\s+R", kids[1]) for p in pages(int(k), seen | {number})]
+        return [p for k in _REF.findall(kids[1]) for p in self.pages(int(k), seen | {number})]
+
+    def _dictionary(self, body: bytes, key: bytes) -> bytes:
+        """The dictionary under a key, given there or by reference."""
+        m = re.search(rb"/%s\s*(?:(\d+)\s+\d+\s+R|(<<))" % key, body)
+        if not m:
+            return b""
+        if m[1]:
+            return self.objects.get(int(m[1]), b"")
+        depth, at = 0, m.start(2)
+        for mark in re.finditer(rb"<<|>>", body[at:]):
+            depth += 1 if mark[0] == b"<<" else -1
+            if not depth:
+                return body[at : at + mark.end()]
+        return body[at:]
+
+    def fonts(self, page: int) -> dict[bytes, CMap]:
+        """The page's fonts that say what their codes stand for; a page without resources has its parent's."""
+        body, seen = self.objects.get(page, b""), {page}
+        while not (held := self._dictionary(body, b"Resources")):
+            up = re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", body)
+            if not up or int(up[1]) in seen:
+                return {}
+            seen.add(int(up[1]))
+            body = self.objects.get(int(up[1]), b"")
+        out = {}
+        for name, number in re.findall(rb"(/[^\s/\[\]()<>{}%]+)\s+(\d+)\s+\d+\s+R", self._dictionary(held, b"Font")):
+            to = re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", self.objects.get(int(number), b""))
+            if to:
+                out[name] = CMap(self.stream(int(to[1])))
+        return out
+
 
-    root = next((n for n, b in objects.items() if re.search(rb"/Type\s*/Pages\b", b) and not re.search(rb"/Parent\b", b)), None)
-    order = pages(root, set()) if root is not None else [n for n, b in objects.items() if re.search(rb"/Type\s*/Page\b", b)]
+def pdf_pages(data: bytes) -> list[str]:
+    """The text of each page: plain and Flate-coded content, objects in object streams, fonts of one byte or with a ToUnicode map."""
+    if not data.lstrip().startswith(b"%PDF"):
+        raise Failure("CONVERSION_FAILED")
+    if re.search(rb"/Encrypt\b", data):
+        raise Failure("PASSWORD_PROTECTED")
+    pdf = Pdf(data)
+    root = next((n for n, b in pdf.objects.items() if re.search(rb"/Type\s*/Pages\b", b) and not re.search(rb"/Parent\b", b)), None)
+    order = pdf.pages(root, set()) if root is not None else [n for n, b in pdf.objects.items() if re.search(rb"/Type\s*/Page\b", b)]
     out = []
     for number in order:
-        contents = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+\s+\d+\s+R))", objects.get(number, b""), re.S)
-        refs = re.findall(rb"(\d+)\s+\d+\s+R", contents[1] or contents[2]) if contents else []
-        out.append(pdf_content_text(b"\n".join(stream(int(r)) for r in refs)))
+        contents = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+\s+\d+\s+R))", pdf.objects.get(number, b""), re.S)
+        refs = _REF.findall(contents[1] or contents[2]) if contents else []
+        out.append(pdf_content_text(b"\n".join(pdf.stream(int(r)) for r in refs), pdf.fonts(number)))
     return out
 
 

@@ -122,3 +122,25 @@ def test_timeout(monkeypatch):
 
     monkeypatch.setitem(X.CONVERTERS, "txt", slow)
     assert X.convert("txt", b"x", seconds=1) == (None, None, "TIMEOUT_EXCEEDED")
+
+
+def test_csv_cells_of_any_size():
+    big = "x" * 200_000
+    assert X.from_csv(f"a,b\n1,{big}\n".encode()).markdown == f"| a | b |\n| --- | --- |\n| 1 | {big} |\n"
+
+
+def test_pdf_object_streams_and_unicode_maps():
+    """Page tree and font in an object stream, codes of two bytes with a map, and of one byte without."""
+    held = [(1, b"<</Type /Catalog /Pages 2 0 R>>"), (2, b"<</Type /Pages /Kids [3 0 R] /Count 1 /Resources <</Font <</F1 6 0 R /F2 9 0 R>> >> >>"), (3, b"<</Type /Page /Parent 2 0 R /Contents 4 0 R>>"), (6, b"<</Type /Font /ToUnicode 7 0 R>>"), (9, b"<</Type /Font>>")]
+    body, head = b"", b""
+    for number, text in held:
+        head += b"%d %d " % (number, len(body))
+        body += text + b" "
+    packed = zlib.compress(head + body)
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0005> <00480069> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<00E9> <4E2D>] endbfrange"
+    content = zlib.compress(b"BT /F1 12 Tf <000500100011> Tj ( \\020\\000\\041) Tj T* /F2 9 Tf [(plain) -300 (text)] TJ ET")
+    data = b"%%PDF-1.5\n5 0 obj <</Type /ObjStm /N 5 /First %d /Filter /FlateDecode>> stream\n" % len(head) + packed + b"\nendstream endobj\n"
+    data += b"4 0 obj <</Filter /FlateDecode>> stream\n" + content + b"\nendstream endobj\n7 0 obj <<>> stream\n" + cmap + b"\nendstream endobj\n"
+    assert X.pdf_pages(data) == ["Hiab中\nplain text"]
+    more = data.replace(content, zlib.compress(b"BT /F1 12 Tf (\\000\\020\\000\\041) Tj ET"))
+    assert X.pdf_pages(more) == ["a中"]

@@ -80,3 +80,23 @@ def test_stream(spark, inputs, tmp_path):
     query.awaitTermination(120)
     rows = {r.source_file: r for r in spark.read.parquet(str(tmp_path / "table")).collect()}
     assert rows["policy.md"].status == "good" and rows["bad.csv"].status == "failed" and "data.xlsx" not in rows and "empty.txt" not in rows
+
+
+def test_a_file_whose_size_cannot_be_told_fails_alone(spark, tmp_path, monkeypatch):
+    from docloom.sources import files
+
+    (tmp_path / "in").mkdir()
+    for name in ("good.txt", "odd.txt"):
+        (tmp_path / "in" / name).write_text("Some words that can be read.")
+    plain = os.path.getsize
+
+    def size(path):
+        if str(path).endswith("odd.txt"):
+            raise OSError("gone")
+        return plain(path)
+
+    monkeypatch.setattr(files.os.path, "getsize", size)
+    listing = files.list_files([str(tmp_path / "in")])
+    monkeypatch.undo()
+    rows = {r.source_file: r.error_code for r in files.convert_files(files.read_files(spark, listing)).collect()}
+    assert rows == {"good.txt": None, "odd.txt": "CONVERSION_FAILED"}
