@@ -17,7 +17,7 @@ import numpy as np
 
 from .vectext import PreTokens
 
-#: Distinct pre-tokens kept in a worker process; beyond it the memory starts afresh.
+#: Distinct pre-tokens kept in a worker process; beyond it those that came once only are dropped.
 MEMORY = 800_000
 
 
@@ -45,6 +45,17 @@ class Memo:
     def clear(self) -> None:
         self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.dtype)
+        self.again = np.zeros(0, bool)
+
+    def forget(self) -> None:
+        """Drop the rows that weren't looked up again since they were added, or all where that drops too few."""
+        keep = np.flatnonzero(self.again)
+        if 2 * len(keep) > len(self.key):
+            return self.clear()
+        size = self.size[keep].astype(np.int64)
+        at = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(self.at[keep] - at, size) + np.arange(int(size.sum()))]
+        self.key, self.check, self.at, self.size, self.again = self.key[keep], self.check[keep], at, self.size[keep], np.zeros(len(keep), bool)
 
     def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the keys, which of them are there, and which are taken by another key of equal first half."""
@@ -62,7 +73,7 @@ class Memo:
         at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[:-1] + len(self.flat)
         place = np.searchsorted(self.key, key)
         self.key, self.check = np.insert(self.key, place, key), np.insert(self.check, place, check)
-        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.at, self.size, self.again = np.insert(self.at, place, at), np.insert(self.size, place, size), np.insert(self.again, place, False)
         self.flat = np.concatenate([self.flat, np.fromiter((x for row in rows for x in row), self.dtype, int(size.sum()))])
 
 
@@ -77,8 +88,9 @@ class Known:
         key, first, back = np.unique(pre.hash, return_index=True, return_inverse=True)
         check = pre.check[first]
         if len(self.memo.key) > self.most:
-            self.memo.clear()
-        _, there, taken = self.memo.find(key, check)
+            self.memo.forget()
+        place, there, taken = self.memo.find(key, check)
+        self.memo.again[place[there]] = True
         new = ~there & ~taken
         if new.any():
             self.memo.add(key[new], check[new], self.make(pre.words(first[new])))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from docloom.llm import queries, token_files, vectext
+from docloom.llm import queries, token_files, tokens, vectext
 from docloom.llm.storage import new_path
 from docloom.llm.token_fst import Composed, Counter, StateMap, count_tokens, reduced
 from docloom.llm.tokens import Encoder
@@ -93,6 +93,17 @@ def test_a_shared_first_hash_is_noticed(encoder, texts, monkeypatch):
         assert counter.count(texts[part], 9).tolist() == [len(w) for w in want[part]]
 
 
+def test_a_full_memory_forgets_what_came_once(encoder, texts, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 60)
+    fresh, most = Encoder(queries.byte_bpe()), 0
+    for part in (texts[i : i + 40] for i in range(0, 1200, 40)):
+        ids, count = fresh.encode([*part, "the words that come every time"])
+        want = [e.ids for e in encoder.library.encode_batch([*part, "the words that come every time"], add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want
+        most = max(most, len(fresh.known.memo.key))
+    assert most < 1000
+
+
 def test_other_tokenizers_are_refused():
     import public_tokenizers
 
