@@ -150,6 +150,9 @@ def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 2,
     gold = np.array([labels.index(x) for x in langs])[text]
     weights, transition = np.zeros((FEATURES, k)), np.zeros((k, k))
     g_weights, g_transition = np.full((FEATURES, k), 1e-2), np.full((k, k), 1e-2)
+    # words by first occurrence, so that those of a batch are spans in rising order
+    _, first, number = np.unique(code_hash(codes, start, end), return_index=True, return_inverse=True)
+    number, first = np.argsort(np.argsort(first))[number], np.sort(first)
     cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
     stretches = [(a, min(a + size, z)) for b, z in zip(cut, [*cut[1:], len(text)], strict=True) for a, size in _stretches(b, z, rnd)]
     taken, kept = np.zeros(k, np.int64), []
@@ -164,19 +167,20 @@ def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 2,
             part = order[at : at + batch * CHAIN]
             n_chains = -(-len(part) // CHAIN)
             size = np.minimum(CHAIN, len(part) - np.arange(n_chains) * CHAIN)
-            ascending, back = np.unique(part, return_inverse=True)
-            row, value = features(codes, start[ascending], end[ascending])
-            score = np.stack([np.bincount(row, weights=weights[value, j], minlength=len(ascending)) for j in range(k)], 1)[back]
+            words, back = np.unique(number[part], return_inverse=True)
+            row, value = features(codes, start[first[words]], end[first[words]])
+            used, at_used = np.unique(value, return_inverse=True)  # a step touches no other feature
+            now = weights[used]
+            score = np.stack([np.bincount(row, weights=now[at_used, j], minlength=len(words)) for j in range(k)], 1)[back]
             table = np.zeros((n_chains * CHAIN, k))
             table[: len(part)] = score
             marginal, expected = forward_backward(table.reshape(n_chains, CHAIN, k), transition, size)
             miss = marginal.reshape(-1, k)[: len(part)].copy()
             miss[np.arange(len(part)), gold[part]] -= 1
-            inverse = np.zeros((len(ascending), k))
-            inverse[back] = miss
-            slope = np.stack([np.bincount(value, weights=inverse[row, j], minlength=FEATURES) for j in range(k)], 1) / n_chains
-            g_weights += slope**2
-            weights -= rate * slope / np.sqrt(g_weights)
+            missed = np.stack([np.bincount(back, weights=miss[:, j], minlength=len(words)) for j in range(k)], 1)
+            slope = np.stack([np.bincount(at_used, weights=missed[row, j], minlength=len(used)) for j in range(k)], 1) / n_chains
+            g_weights[used] += slope**2
+            weights[used] = now - rate * slope / np.sqrt(g_weights[used])
             seen = np.zeros((k, k))
             inside = np.arange(len(part) - 1) % CHAIN != CHAIN - 1
             np.add.at(seen, (gold[part[:-1]][inside], gold[part[1:]][inside]), 1)
