@@ -17,6 +17,10 @@ class Dialect:
         """A group of the first match, or the empty string."""
         return f"regexp_extract({x}, {self.lit(pattern)}, {group})"
 
+    def trim(self, x: str, pattern: str, side: str, chars: str) -> str:
+        """The matches of a pattern of edge characters removed; side and chars say the same without a pattern."""
+        return self.sub(x, pattern)
+
     def has(self, x: str, pattern: str) -> str:
         raise NotImplementedError
 
@@ -59,6 +63,9 @@ class Spark(Dialect):
     def sub(self, x, pattern, by=""):
         return f"regexp_replace({x}, {self.lit(pattern)}, {self.lit(by)})"
 
+    def trim(self, x, pattern, side, chars):
+        return f"trim({side} {self.lit(chars)} FROM {x})"  # looks at the edges only
+
     def has(self, x, pattern):
         return f"regexp_like({x}, {self.lit(pattern)})"
 

@@ -6,6 +6,7 @@ column of a rule. Lengths called bytes are UTF-8 bytes, others are code points.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -16,6 +17,7 @@ from .dialect import SPARK, Dialect
 # White_Space, invisible characters, readable punctuation, labels, stop words, limits.
 WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].zfill(4), WS), c))
 INVISIBLE = r"[\x{feff}\x{200b}\x{200c}\x{200d}\x{2060}\x{ad}]"
 READABLE_PUNCTUATION = ".,;:!?-_()[]{}#*|/\\'\"%&@+=<>"
 BULLETS = "-*•○▪▫"
@@ -65,11 +67,11 @@ def quoted(d: Dialect, values) -> str:
 
 
 def trim(d, x):
-    return d.sub(x, f"^{WS}+|{WS}+$")
+    return d.trim(x, f"^{WS}+|{WS}+$", "BOTH", WS_CHARS)
 
 
 def rtrim(d, x):
-    return d.sub(x, f"{WS}+$")
+    return d.trim(x, f"{WS}+$", "TRAILING", WS_CHARS)
 
 
 def blank(d, x):
@@ -83,7 +85,8 @@ def words(d, x):
 
 def lines(d, x):
     """Lines without a final empty one, a carriage return before the line feed removed."""
-    body = d.sub(d.sub(x, "\r\n", "\n"), "\n$") if d.name == "duck" else f"regexp_replace({d.sub(x, chr(13) + chr(10), chr(10))}, {d.lit(chr(10) + chr(92) + 'z')}, '')"
+    unix = f"replace({x}, {d.lit(chr(13) + chr(10))}, {d.lit(chr(10))})"
+    body = f"CASE WHEN right({unix}, 1) = {d.lit(chr(10))} THEN substring({unix}, 1, length({unix}) - 1) ELSE {unix} END"
     return d.split(body, "\n")
 
 
@@ -107,7 +110,7 @@ def readable_ratio(d, x):
 def word_share(d, ws):
     """Of an array of words, the share that are mostly letters."""
     letters = f"length({d.sub('w', '[^A-Za-z]')})"
-    good = d.keep(ws, "w", f"{letters} >= 2 AND {letters} * 2 >= length(w)")
+    good = d.keep(ws, "w", f"{letters} * 2 >= greatest(4, length(w))")  # two letters at least, and half of the word
     return f"CASE WHEN {d.size(ws)} = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({d.size(good)} AS DOUBLE) / {d.size(ws)} END"
 
 
@@ -171,9 +174,13 @@ def all_caps(d, l):
     return f"({letters} BETWEEN 3 AND 80 AND {letters} = {capitals} AND NOT {d.has(l, '[.]$')})"
 
 
-def heading_level(d, l):
-    low = f"lower({l})"
-    hashes = d.get(l, "^(#{1,6})[^#]")
+def hash_marks(d, l):
+    return d.get(l, "^(#{1,6})[^#]")
+
+
+def heading_level(d, l, low=None, hashes=None):
+    """The line's level as a heading, or null; low and hashes name columns that hold its lower case and its hash marks."""
+    low, hashes = low or f"lower({l})", hashes or hash_marks(d, l)
     prefixed = " OR ".join(f"{low} LIKE {d.lit(p + '%')}" for p in CHAPTER_PREFIXES)
     return (
         f"CASE WHEN {l} = '' OR {d.bytes(l)} > 120 THEN NULL WHEN {hashes} <> '' THEN length({hashes}) WHEN {prefixed} THEN 1 "
@@ -182,20 +189,18 @@ def heading_level(d, l):
 
 
 def heading_title(d, l):
-    hashes = d.get(l, "^(#{1,6})[^#]")
-    return f"CASE WHEN {heading_level(d, l)} IS NULL THEN NULL WHEN {hashes} <> '' THEN {trim(d, d.get(l, '^#{1,6}(.*)$'))} ELSE {l} END"
+    return f"CASE WHEN {heading_level(d, l)} IS NULL THEN NULL WHEN {hash_marks(d, l)} <> '' THEN {trim(d, d.get(l, '^#{1,6}(.*)$'))} ELSE {l} END"
 
 
-def block_start(d, l):
-    return f"({bullet(d, l)} IS NOT NULL OR {numbered(d, l)} IS NOT NULL OR {heading_level(d, l)} IS NOT NULL)"
+def starts(d, source, l="line"):
+    """source with starts: whether its trimmed line opens a block of its own. Parts that are used twice are columns, worked out once."""
+    parts = f"(SELECT *, lower({l}) AS low, {hash_marks(d, l)} AS hashes, {numbered(d, l)} AS numbered FROM {source})"
+    return f"(SELECT *, ({bullet(d, l)} IS NOT NULL OR numbered IS NOT NULL OR {heading_level(d, l, 'low', 'hashes')} IS NOT NULL) AS starts FROM {parts} AS p1)"
 
 
-def merges(d, prev, line):
+def merges(d, prev, line, prev_starts, line_starts):
     """Whether a line continues the one before it, by these two lines alone."""
-    return (
-        f"(NOT {block_start(d, line)} AND NOT {block_start(d, prev)} AND "
-        f"({d.has(prev, '-$')} OR (NOT {d.has(prev, '[.!?:;]$')} AND {d.has(line, '^[a-z0-9]')})))"
-    )
+    return f"(NOT {line_starts} AND NOT {prev_starts} AND ({d.has(prev, '-$')} OR (NOT {d.has(prev, '[.!?:;]$')} AND {d.has(line, '^[a-z0-9]')})))"
 
 
 def page_marker(d, l):
@@ -223,8 +228,9 @@ def blocks(d, source, l="line"):
 
     The kind leaves out roster lines, which need the heading before them.
     """
-    one = f"(SELECT *, {page_marker(d, l)} AS marker, {toc_entry(d, l)} AS toc, {bullet(d, l)} AS bullet, {numbered(d, l)} AS numbered, {heading_level(d, l)} AS level, {subtitle(d, l)} AS subtitle FROM {source})"
-    two = f"(SELECT *, CASE WHEN {d.get(l, '^(#{1,6})[^#]')} <> '' THEN {trim(d, d.get(l, '^#{1,6}(.*)$'))} ELSE {l} END AS title FROM {one} AS b1)"
+    parts = f"(SELECT *, lower({l}) AS low, {hash_marks(d, l)} AS hashes FROM {source})"
+    one = f"(SELECT *, {page_marker(d, l)} AS marker, {toc_entry(d, l)} AS toc, {bullet(d, l)} AS bullet, {numbered(d, l)} AS numbered, {heading_level(d, l, 'low', 'hashes')} AS level, {subtitle(d, l)} AS subtitle FROM {parts} AS b0)"
+    two = f"(SELECT *, CASE WHEN hashes <> '' THEN {trim(d, d.get(l, '^#{1,6}(.*)$'))} ELSE {l} END AS title FROM {one} AS b1)"
     kind = (
         "CASE WHEN marker THEN 'marker' WHEN toc IS NOT NULL THEN 'toc' WHEN bullet IS NOT NULL THEN 'bullet' WHEN numbered IS NOT NULL THEN 'numbered' "
         "WHEN level IS NOT NULL THEN 'heading' WHEN subtitle THEN 'subtitle' ELSE 'paragraph' END"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import rules as R
 from docloom.functions.dialect import DUCK, SPARK
 from docloom.operators.normalize import with_normalized
+from docloom.operators.ordinal import with_ordinal
 from docloom.operators.text_markdown import with_pages_markdown, with_paragraphs, with_repaired, with_text_markdown
 from docloom.plans import sql
 
@@ -62,16 +63,15 @@ def pdf_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a text file: converted, normalised, measured, named, and listed."""
     docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("file_seq"), F.concat("source", F.lit(" Report.txt")).alias("source_file"), "text")
-    made = with_normalized(with_text_markdown(docs)).drop("text", "markdown")
-    made.createOrReplaceTempView("converted_texts")
-    ext = R.extension(SPARK, "source_file")
-    base = f"concat({R.slug(SPARK, 'source_file')}, '-', {ext})"
-    warned = f"(SELECT *, {R.quality_warning(SPARK, 'body')} AS warning FROM converted_texts)"
-    ranked = f"(SELECT *, row_number() OVER (PARTITION BY {base} ORDER BY file_seq) AS n FROM {warned})"
-    return spark.sql(
-        f"SELECT file_seq, source_file, {ext} AS source_type, {R.status(SPARK, 'CAST(NULL AS STRING)', 'warning')} AS status, warning, "
-        f"concat('documents/', {R.output_name(SPARK, base, 'n')}) AS output_file, CAST(octet_length(body) AS BIGINT) AS markdown_bytes FROM {ranked}"
-    )
+    made = with_normalized(with_text_markdown(docs))
+    ext = R.column(R.extension, "source_file")
+    # all that the list needs of a text is worked out before rows are exchanged
+    rows = made.select("file_seq", "source_file", ext.alias("source_type"), R.column(R.quality_warning, "body").alias("warning"), F.octet_length("body").cast("long").alias("markdown_bytes"))
+    named = F.concat(R.column(R.slug, "source_file"), F.lit("-"), ext)
+    rows = with_ordinal(rows.withColumn("base", named), docs.select(named.alias("base"), "file_seq"), "base", "file_seq", "n")
+    status = F.expr(R.status(SPARK, "CAST(NULL AS STRING)", "warning"))
+    output = F.concat(F.lit("documents/"), F.expr(R.output_name(SPARK, "base", "n")))
+    return rows.select("file_seq", "source_file", "source_type", status.alias("status"), "warning", output.alias("output_file"), "markdown_bytes")
 
 
 QUERIES |= {f.__name__: f for f in (word_break_repair, reflow_paragraphs, txt_to_markdown, pdf_to_markdown, txt_manifest)}

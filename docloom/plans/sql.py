@@ -274,8 +274,9 @@ def roster_lines(d):
 
 def _flags(d):
     src = lines_of(d, f"{soft_wrapped(d)} AS w")
-    before = f"(SELECT doc_id, pos, line, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY pos), '') AS prev FROM {src} AS q)"
-    return f"(SELECT doc_id, pos, line, (prev <> '' AND line <> '' AND {R.merges(d, 'prev', 'line')}) AS joins FROM {before} AS b)"
+    window = "OVER (PARTITION BY doc_id ORDER BY pos)"
+    before = f"(SELECT doc_id, pos, line, starts, coalesce(lag(line) {window}, '') AS prev, lag(starts) {window} AS prev_starts FROM {R.starts(d, f'{src} AS q')} AS s)"
+    return f"(SELECT doc_id, pos, line, (prev <> '' AND line <> '' AND {R.merges(d, 'prev', 'line', 'prev_starts', 'starts')}) AS joins FROM {before} AS b)"
 
 
 def merge_flags(d):
@@ -293,7 +294,7 @@ def block_kinds(d):
 
 def block_separators(d):
     """Lines as blocks, put together with the separators that the neighbouring kinds ask for."""
-    kept = f"(SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM {R.blocks(d, f'{listy(d)} AS q')} AS k WHERE line <> '' AND kind <> 'marker')"
+    kept = f"(SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM {R.blocks(d, f'{listy(d)} AS q')} AS k WHERE line <> '' AND NOT marker)"
     items = "('bullet', 'numbered', 'toc')"
     sep = f"CASE WHEN before IS NULL THEN '' WHEN before IN {items} AND kind IN {items} THEN {d.lit(chr(10))} ELSE {d.lit(chr(10) * 2)} END"
     pieces = f"(SELECT doc_id, pos, concat({sep}, {R.block_markdown(d)}) AS piece FROM {kept} AS b)"

@@ -4,6 +4,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
+from docloom.functions import rules as R
 from docloom.functions.dialect import DUCK
 from docloom.operators import textrules as T
 from docloom.operators.normalize import normalized, with_normalized
@@ -93,3 +94,15 @@ def test_normalized_equals_the_query(spark):
 def test_rows_without_a_key_are_normalized_by_themselves(spark):
     df = spark.createDataFrame([(None, "a \n b"), (None, "c"), (1, "x\n\n\ny"), (1, "z"), (2, None)], "k long, markdown string")
     assert sorted((r.markdown or "", r.body) for r in with_normalized(df).collect()) == [("", None), ("a \n b", "a\nb\n"), ("c", "c\n"), ("x\n\n\ny", "x\n\ny\n"), ("z", "z\n")]
+
+
+def test_trimming_by_characters_equals_the_pattern(spark):
+    """Both engines' trims, one by edge characters and one by a pattern, on every white-space character and on others like it."""
+    edges = [*R.WS_CHARS, "​", "᠎", "\x1c", "x", "﻿", ""]
+    texts = [a + b + "é x y" + b + a for a in edges for b in ("", " ", "　")] + ["", " \n\t", " "]
+    con = duckdb.connect()
+    con.register("t", pa.table({"x": texts}))
+    for rule in (R.trim, R.rtrim):
+        want = [r[0] for r in con.execute(f"SELECT {rule(DUCK, 'x')} FROM t").fetchall()]
+        assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "x string").select(R.column(rule, "x")).collect()] == want
+    assert len(R.WS_CHARS) == 25
