@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in steps(batches):
+        for batch in steps(batches, keeps=True):
             ids, offsets = with_end(*encoder(tokenizer).encode(batch.column("text").to_pylist()), end_id)
             held, at = memoryview(ids.astype("<u4")).cast("B"), (4 * offsets).tolist()
             yield pa.RecordBatch.from_arrays(

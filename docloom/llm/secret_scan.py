@@ -12,13 +12,12 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectext import steps
+from .vectext import kept, steps
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -35,8 +34,12 @@ DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 LETTERS = 2.0 / 2.2
 
 
-@lru_cache(2)
 def vocabulary(path: str, pattern: str):
+    """The tokenizer of a tiktoken vocabulary file."""
+    return kept(("vocabulary", path, pattern), lambda: _load(path, pattern))
+
+
+def _load(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
@@ -116,7 +119,7 @@ def scan_secrets(docs: DataFrame, vocab: str, pattern: str, *, id_col: str = "do
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary(vocab, pattern)
-        for batch in steps(batches):
+        for batch in steps(batches, keeps=True):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = [find_secrets(t, encoding, ratio) for t in texts]
             named = [[[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in column] for column in zip(*found, strict=True)]
@@ -144,7 +147,7 @@ def scrub(docs: DataFrame, vocab: str, pattern: str, *, text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary(vocab, pattern)
-        for batch in steps(batches, text_col):
+        for batch in steps(batches, text_col, keeps=True):
             texts = batch.column(at).to_pylist()
             new = [redacted(t, s, mark) if t and (s := find_secrets(t, encoding, ratio)[1]) else t for t in texts]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))

@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0
-        for batch in steps(batches):
+        for batch in steps(batches, keeps=True):
             ids, count = encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()])
             if end_id is not None:
                 ids, offsets = with_end(ids, count, end_id)

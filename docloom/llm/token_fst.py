@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import Known, byte_level
-from .vectext import PreTokens, steps
+from .vectext import PreTokens, kept, steps
 
 #: Bytes of a chunk.
 CHUNK = 1 << 14
@@ -255,9 +254,8 @@ class Counter:
         return out
 
 
-@lru_cache(4)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return kept(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk: int = CHUNK) -> DataFrame:
@@ -267,7 +265,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, keeps=True):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             count = counter(tokenizer).count(texts, chunk)
             size = np.array([len(t.encode()) for t in texts], np.int64)

@@ -11,11 +11,10 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 
-from .vectext import PreTokens
+from .vectext import PreTokens, kept
 
 #: Distinct pre-tokens kept in a worker process; beyond it those that came once only are dropped.
 MEMORY = 800_000
@@ -134,9 +133,8 @@ class Encoder:
         return ids, count
 
 
-@lru_cache(4)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def with_end(ids: np.ndarray, count: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

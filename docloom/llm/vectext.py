@@ -7,7 +7,7 @@ import ctypes
 import hashlib
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,11 +30,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+#: The one large thing that a worker process holds from task to task.
+_kept: dict = {}
+
+
+def kept[T](key: Hashable, make: Callable[[], T]) -> T:
+    """What make gives, held by the worker process until another thing is asked for or a step begins that uses none."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES, keeps: bool = False) -> Iterator[pa.RecordBatch]:
     """The batches' rows, cut so that a step's texts take at most limit bytes or are one row.
 
+    keeps: the caller uses what the worker holds (`kept`); else that is dropped first, as it belongs to a step before.
     After the last one the worker's free memory goes back to the machine: the next task may run in another worker.
     """
+    if not keeps:
+        _kept.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

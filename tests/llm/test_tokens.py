@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -161,3 +162,15 @@ def test_count_rows(spark, encoder, texts):
     for i, t in enumerate(texts):
         n = len(encoder.library.encode(t, add_special_tokens=False).ids)
         assert got[i][1:] == (len(t.encode()), n, n > 512)
+
+
+def test_a_worker_holds_one_large_thing():
+    made = []
+    make = lambda x: lambda: made.append(x) or [x]
+    batch = pa.record_batch({"text": ["a", "b"]})
+    one = vectext.kept("one", make(1))
+    assert vectext.kept("one", make(1)) is one and made == [1]
+    assert len(list(vectext.steps(iter([batch]), keeps=True))) == 1 and vectext.kept("one", make(1)) is one
+    vectext.kept("two", make(2))
+    assert vectext.kept("one", make(1)) is not one and made == [1, 2, 1]
+    assert len(list(vectext.steps(iter([batch])))) == 1 and vectext.kept("one", make(1)) and made == [1, 2, 1, 1]
