@@ -1,7 +1,10 @@
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from docloom.llm import queries
+from docloom.llm import queries, storage
 from docloom.llm.tokens import Encoder
 
 SYLLABLES = {"en": ["th", "er", "ing", "on", "and"], "de": ["sch", "ung", "eit", "ich", "au"]}
@@ -101,3 +104,20 @@ def test_very_long_and_blank_texts(spark, tmp_path):
     total = {r.doc_id: r.doc_tokens for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()}
     library = Encoder(queries.byte_bpe()).library
     assert total == {r[0]: len(library.encode(r[1], add_special_tokens=False).ids) + 1 for r in rows}
+
+
+def test_batches_to_workers_are_bounded(spark):
+    before = spark.conf.getAll.get(storage._BATCH_CONF)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text"))
+    sizes = lambda: [r.n for r in rows.mapInArrow(lambda bs: (pa.record_batch({"n": [b.nbytes]}) for b in bs), "n long").collect()]
+    try:
+        spark.conf.set(storage._BATCH_CONF, str(1 << 20))
+        storage.small_batches(spark)
+        assert spark.conf.get(storage._BATCH_CONF).rstrip("b") == str(1 << 20)  # the session's own bound stays
+        spark.conf.unset(storage._BATCH_CONF)
+        storage.small_batches(spark)
+        assert len(sizes()) > 1 and max(sizes()) < 1.1 * storage.BATCH_BYTES
+    finally:
+        spark.conf.unset(storage._BATCH_CONF)
+        if before:
+            spark.conf.set(storage._BATCH_CONF, before)
