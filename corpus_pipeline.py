@@ -10,7 +10,7 @@ from docloom.llm.decontam import drop_contaminated
 from docloom.llm.jaccard import jaccard_components, without
 from docloom.llm.packing import pack
 from docloom.llm.queries import byte_bpe, learned_language_model, tiktoken_vocabulary
-from docloom.llm.storage import clear, mark, materialize, table
+from docloom.llm.storage import clear, mark, materialize, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row is judged by itself, ids play no part: repeated rows all stay or all go. An empty table gives an empty result.
     """
+    small_batches(spark)
     return language_id.keep_identified(docs, learned_language_model(docs))
 
 
@@ -28,6 +29,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are compared like any others, null ids coming last. Rows with null or blank text are in no group and stay.
     An empty table gives an empty result.
     """
+    small_batches(spark)
     row = "row_number"
     while row in docs.columns:
         row += "_"
@@ -41,17 +43,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_quotes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose text quotes no benchmark item. Null and empty texts stay, repeated rows all stay or all go."""
+    small_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with the secrets in their texts replaced and n_chars set anew where that changed it. Null texts stay null."""
+    small_batches(spark)
     size_col = "n_chars" if "n_chars" in docs.columns else None
     return secret_scan.scrub(docs, *tiktoken_vocabulary(), size_col=size_col)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the kept rows in sequences of 1024 tokens, mixed by source. A null text is an end id, a null source a source."""
+    small_batches(spark)
     return pack(docs, byte_bpe())
 
 
