@@ -12,7 +12,7 @@ from .decontam import find_quotes
 from .jaccard import jaccard_components
 from .lm import score_documents
 from .packing import pack
-from .storage import materialize, new_path, table
+from .storage import materialize, new_path, small_batches, table
 from .token_fst import count_tokens
 from .topk import top_k
 
@@ -34,6 +34,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = new_path(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, byte_bpe())
     return token_files.digests(token_files.read_tokens(spark, path))
