@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .vectext import Words, mix, steps
+from .vectext import Words, gives_back, mix, steps
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Counts that have a level each, ratio of the levels beyond, hash functions, bits for each held level.
@@ -335,8 +335,8 @@ def score_documents(docs: DataFrame, train: Column, *, id_col: str = "doc_id", t
                 pairs.add(pair, d)
         yield from answers()
 
-    by_range = chunks.mapInArrow(ask, "r long, chunk long, blob binary").repartitionById(n_parts, F.pmod("r", F.lit(n_parts)).cast("int")).sortWithinPartitions("r", "chunk")
-    told = materialize(by_range.mapInArrow(probed, "chunk long, r long, blob binary, v long, q double"), "answers")
+    by_range = chunks.mapInArrow(gives_back(ask), "r long, chunk long, blob binary").repartitionById(n_parts, F.pmod("r", F.lit(n_parts)).cast("int")).sortWithinPartitions("r", "chunk")
+    told = materialize(by_range.mapInArrow(gives_back(probed), "chunk long, r long, blob binary, v long, q double"), "answers")
     known = told.where("chunk IS NULL").agg(F.sum("v").alias("v"), F.sum("q").alias("q")).first()
     n_words = known.v or 0
     space, quantised = float(n_train + n_words + 1), (known.q or 0.0) + n_words + 1
@@ -371,4 +371,4 @@ def score_documents(docs: DataFrame, train: Column, *, id_col: str = "doc_id", t
     own = chunks.select("chunk", F.lit(n_ranges).cast("long").alias("r"), "blob", "ids")
     answered = told.where("chunk IS NOT NULL").select("chunk", "r", "blob", F.lit(None).cast("array<long>").alias("ids"))
     by_chunk = answered.unionByName(own).repartitionById(n_chunk_parts, F.pmod(F.xxhash64("chunk"), F.lit(n_chunk_parts)).cast("int")).sortWithinPartitions("chunk", "r")
-    return by_chunk.mapInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_chunk.mapInArrow(gives_back(score), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -59,6 +59,21 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at, base = to, int(ends[to - 1])
+    _give_back()
+
+
+def gives_back(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step that doesn't cut its batches by `steps`, after which the worker's free memory goes back to the machine all the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _kept.clear()
+        yield from step(batches)
+        _give_back()
+
+    return run
+
+
+def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     _trim()
 

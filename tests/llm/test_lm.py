@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import lm, vectext
+from docloom.llm import lm, queries, storage, vectext
 from docloom.llm.lm import Chunk, Counts, Filter, count_of, level_of, pack_ints, score_documents, tokens, unpack_ints
 
 
@@ -165,3 +165,22 @@ def test_empty(spark):
 def test_hash_of_ids_is_crc32(spark):
     got = spark.range(5).select("id", F.crc32(F.col("id").cast("string")).alias("c")).collect()
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got)
+
+
+def test_batches_to_workers_are_bounded(spark, tmp_path, monkeypatch):
+    """Rows of n-grams and answers are tens of KB each: without a bound a batch holds 64 MB of them, in the JVM and in the worker."""
+    spark.createDataFrame(corpus(), "text string, doc_id long, score double").write.parquet(str(tmp_path / "documents.parquet"))
+    before, bounds, plain = spark.conf.getAll.get(storage._BATCH_CONF), [], queries.score_documents
+    monkeypatch.setattr(queries, "score_documents", lambda *a: bounds.append(spark.conf.getAll.get(storage._BATCH_CONF)) or plain(*a))
+    spark.conf.unset(storage._BATCH_CONF)
+    try:
+        assert queries.op6_lm_scores(spark, str(tmp_path)).count() == len(corpus())
+    finally:
+        spark.conf.unset(storage._BATCH_CONF) if before is None else spark.conf.set(storage._BATCH_CONF, before)
+    assert bounds == [str(storage.BATCH_BYTES)]
+
+
+def test_a_step_gives_memory_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(vectext, "_trim", lambda: done.append(True))
+    assert list(vectext.gives_back(lambda it: (x for x in it))(iter([1, 2]))) == [1, 2] and done
