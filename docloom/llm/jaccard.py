@@ -8,6 +8,7 @@
    then has too few parts signs all its parts as they are with all shingles, too. Of the sets with a
    common signature, those go to one cluster that a bitmap of their shingles' parities lets pass: it
    differs in at most as many bits as the sets do in shingles.
+   One row of each class signs. Sets that share many signatures are one group, and held against each other once.
    Signatures that very many sets share are cut into blocks of sets, and pairs of blocks go to tasks of their own.
 3. T-occurrence search within a cluster: an inverted index of its sets; for a query set, the short lists
    are merged by a heap, which counts each set's occurrences, the long ones are probed by binary search
@@ -30,7 +31,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -311,9 +313,9 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
     counted = picked.mapInArrow(sampled, "h long").groupBy("h").count().where(F.col("count") >= HOT).select("h")
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in counted.collect()], np.int64).astype(np.uint64)))
 
-    def signed(batches: Iterator[pa.RecordBatch], pivots=None) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch], pivots=None, reps=None) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in steps(batches):
+        for batch in steps(batches if reps is None else _maybe(batches, reps.value)):
             text, value = shingles(Words(batch.column("text")), size, batch.num_rows)
             edges = np.searchsorted(text, np.arange(batch.num_rows + 1))
             node = np.zeros(batch.num_rows, np.int64)
@@ -353,28 +355,52 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
     pivots = spark.sparkContext.broadcast((np.array([x for x, _ in tied], np.int64), np.array([x for _, x in tied], np.int64)))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by signature: those whose signature is another node's, too. Rows with a pivot pass as they are."""
-        last = None  # the last row so far, and whether it was given out
+        """Rows sorted by signature and node: the nodes of each signature that two or more share, those of more than group
+        nodes as a row each. Rows with a pivot pass as they are."""
+        held = np.zeros((2, 0), np.int64)  # signature and node of the last rows, whose signature may go on
+        given = False  # whether they are part of a large group, given out but for those after the first one held
+
+        def rows_of(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.nulls(len(sig), pa.int64()), pa.nulls(len(sig), nodes)], names)
+
+        def grouped(sig: np.ndarray, node: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+            count = np.diff(start, append=len(sig))
+            many = np.repeat(count > group, count)
+            if many.any():
+                yield rows_of(sig[many], node[many])
+            few = (count > 1) & (count <= group)
+            if few.any():
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[few])]), pa.int32()), pa.array(node[np.repeat(few, count)]))
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(lists), pa.int64()) for _ in range(3)), lists], names)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
             here = batch.column("pivot").is_valid().to_numpy(zero_copy_only=False)
             if here.any():
-                yield batch.filter(pa.array(here))
-            sig = batch.column("sig").filter(pa.array(~here)).to_numpy().astype(np.int64)
-            node = batch.column("node").filter(pa.array(~here)).to_numpy()
-            if not len(sig):
+                tied = batch.filter(pa.array(here))
+                yield pa.RecordBatch.from_arrays([*tied.columns, pa.nulls(tied.num_rows, nodes)], names)
+            both = np.stack([batch.column(c).filter(pa.array(~here)).to_numpy().astype(np.int64) for c in ("sig", "node")])
+            both = np.concatenate([held, both], axis=1)
+            if not both.shape[1]:
                 continue
-            same = sig[1:] == sig[:-1]
-            keep = np.zeros(len(sig), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if last is not None and last[0] == sig[0]:
-                keep[0] = True
-                if not last[2]:
-                    yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([None], pa.int64())], ["sig", "node", "pivot"])
-            last = (int(sig[-1]), int(node[-1]), bool(keep[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(np.full(int(keep.sum()), None), pa.int64())], ["sig", "node", "pivot"])
+            new = np.ones(both.shape[1], bool)  # copies sign alike: a node counts once
+            new[1:] = (both[:, 1:] != both[:, :-1]).any(0)
+            sig, node = both[:, new]
+            start = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
+            if given:
+                end = int(start[1]) if len(start) > 1 else len(sig)
+                yield rows_of(sig[1:end], node[1:end])
+                if len(start) == 1:
+                    held = np.stack([sig[-1:], node[-1:]])
+                    continue
+                sig, node, start = sig[end:], node[end:], start[1:] - end
+            last = int(start[-1])
+            yield from grouped(sig[:last], node[:last], start[:-1])
+            held, given = np.stack([sig[last:], node[last:]]), len(sig) - last > group
+            if given:
+                yield rows_of(*held)
+                held = held[:, -1:]
+        if held.shape[1] and not given:
+            yield from grouped(*held, np.zeros(1, np.int64))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by signature and pair of blocks, with size and sketch."""
@@ -396,15 +422,19 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, num: int = 8, den: int
         if len(held) > 1:
             yield done()
 
-    every = rows.mapInArrow(lambda it: signed(it, pivots), out)
+    # One row of each class signs, and sets that share many signatures are held against each other once: their group is a row.
+    names, nodes = ["sig", "node", "pivot", "nodes"], pa.list_(pa.int64())
+    reps = _bitmap(classes.select("rep"))
+    every = _placed(rows).mapInArrow(lambda it: signed(it, pivots, reps), out)
     dealt = every.repartition(F.coalesce("sig", F.xxhash64("node", "pivot"))).sortWithinPartitions("sig", "node")
-    shared = materialize(dealt.mapInArrow(runs, out).distinct(), "shared-signatures")
-    shared_sigs = shared.where("pivot IS NULL")
+    shared = materialize(dealt.mapInArrow(runs, out + ", nodes array<long>").distinct(), "shared-signatures")
+    shared_sigs = shared.where("sig IS NOT NULL").select("sig", "node")
     large = shared_sigs.groupBy("sig").count().where(F.col("count") > group).select("sig", F.ceil(F.col("count") / group).cast("int").alias("blocks"))
     place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pair = lambda x: F.least(x, place) * F.col("blocks") + F.greatest(x, place)
     parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
     dealt = shared_sigs.join(large, "sig", "left").select("sig", "node", F.explode(parts).alias("part"))
+    dealt = dealt.unionByName(shared.where("nodes IS NOT NULL").select(F.xxhash64("nodes").alias("sig"), F.explode("nodes").alias("node"), F.lit(0).alias("part")))
     groups = dealt.join(known_sets, "node").select("sig", "part", "node", "n", "sketch")
     found = groups.repartition("sig", "part").sortWithinPartitions("sig", "part", "node").mapInArrow(edges, "a long, b long")
     clusters = connected_components(found.unionByName(shared.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
@@ -456,24 +486,41 @@ def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
 
     Where members are so many that the bitmap fills up, more rows pass, and the join after it decides all the same.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1
-    bitmap = members.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toArrow()
-    held = {int(b): np.frombuffer(bits.as_buffer(), np.uint8) for b, bits in zip(bitmap["b"].to_pylist(), bitmap["bits"], strict=True)}
-    sent = rows.sparkSession.sparkContext.broadcast(held)
+    sent = _bitmap(members.select("doc_id"))
+    return _placed(rows).mapInArrow(lambda it: _maybe(it, sent.value), "doc_id long, text string")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket, bit = batch.column("b").to_numpy(), batch.column("p").to_numpy()
-            there = np.zeros(batch.num_rows, bool)
-            for b in np.unique(bucket).tolist():
-                if b in sent.value:
-                    some = bucket == b
-                    there[some] = sent.value[b][bit[some] >> 3] >> (bit[some] & 7) & 1 == 1
-            if there.any():
-                yield batch.filter(pa.array(there)).select(["doc_id", "text"])
-
-    marked = rows.withColumns({"b": F.bitmap_bucket_number(place), "p": F.bitmap_bit_position(place)})
-    return marked.mapInArrow(keep, "doc_id long, text string")
+
+def _places(id_col: str) -> tuple[Column, Column]:
+    """Bucket and bit of an id in a bitmap."""
+    place = F.pmod(F.xxhash64(id_col), F.lit(BITMAP)) + 1
+    return F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with their ids' buckets and bits as b and p, for _maybe."""
+    b, p = _places("doc_id")
+    return rows.withColumns({"b": b, "p": p})
+
+
+def _bitmap(ids: DataFrame) -> Broadcast:
+    """The buckets of a bitmap (8 MB at most) of a column of ids, sent to the workers."""
+    b, p = _places(ids.columns[0])
+    bitmap = ids.select(b.alias("b"), p.alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toArrow()
+    held = {int(b): np.frombuffer(bits.as_buffer(), np.uint8) for b, bits in zip(bitmap["b"].to_pylist(), bitmap["bits"], strict=True)}
+    return ids.sparkSession.sparkContext.broadcast(held)
+
+
+def _maybe(batches: Iterator[pa.RecordBatch], held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """doc_id and text of the rows whose bit is set."""
+    for batch in batches:
+        bucket, bit = batch.column("b").to_numpy(), batch.column("p").to_numpy()
+        there = np.zeros(batch.num_rows, bool)
+        for b in np.unique(bucket).tolist():
+            if b in held:
+                some = bucket == b
+                there[some] = held[b][bit[some] >> 3] >> (bit[some] & 7) & 1 == 1
+        if there.any():
+            yield batch.filter(pa.array(there)).select(["doc_id", "text"])
 
 
 def _across(found: DataFrame, alone: DataFrame, texts: DataFrame, sketches: DataFrame, rule: Rule, size: int) -> DataFrame:

@@ -126,3 +126,29 @@ def test_rows_without_some_ids(spark, monkeypatch):
             want = {r.k for r in docs.collect()} - {r.k for r in gone.collect()}
             got = jaccard.without(docs, gone, "k")
             assert got.columns == docs.columns and {(r.k, r.text) for r in got.collect()} == {(k, f"t{k}") for k in want}
+
+
+def test_sets_with_many_common_signatures_are_one_row(spark, monkeypatch):
+    """Copies sign once, and two near copies of a long text are held against each other once, not once for each signature."""
+    rnd, written, plain = random.Random(8), {}, jaccard.materialize
+    long = [[f"w{rnd.randint(0, 9999)}" for _ in range(600)] for _ in range(3)]
+    rows = [(10 * i + j, " ".join(words)) for i, words in enumerate(long) for j in range(5)]
+    rows += [(100 + i, " ".join([*words[:-4], "x"])) for i, words in enumerate(long[:2])]
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: written.setdefault(name, plain(df, name)))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 8, 10)
+    assert written["shared-signatures"].count() == 2
+
+
+def test_groups_that_go_over_batches(spark, monkeypatch):
+    rows = corpus(5, 150)
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, before = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.conf.get(key)
+    try:
+        for size, group in ((2, 4), (7, 3), (5, 1024)):
+            spark.conf.set(key, size)
+            got = jaccard_components(docs, size=5, num=8, den=10, sample=40, group=group)
+            assert sorted(map(tuple, got.collect())) == brute(rows, 5, 8, 10)
+    finally:
+        spark.conf.set(key, before)
