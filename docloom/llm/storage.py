@@ -7,9 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of a batch of rows sent to a Python worker (one row at least), where the session sets no bound of its own.
-BATCH_BYTES = 4 << 20
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+from docloom.operators.batches import BATCH_BYTES, small_batches  # noqa: F401
+from docloom.operators.batches import BATCH_CONF as _BATCH_CONF  # noqa: F401
 
 #: Folders that this process has written, oldest first.
 _written: list[str] = []
@@ -70,11 +69,5 @@ def discard(*tables: DataFrame) -> None:
         _written.remove(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the batches that executors and their workers hold twice each, unless the session was given a bound."""
-    if _BATCH_CONF not in spark.conf.getAll:
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

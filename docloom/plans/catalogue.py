@@ -38,7 +38,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_break_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_repaired(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "repaired")
+    return with_repaired(_documents(spark, sf_dir).select("doc_id", "text"), keep=False).select("doc_id", "repaired")
 
 
 def reflow_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
