@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rules as R
 from docloom.functions.dialect import DUCK, SPARK
-from docloom.operators.normalize import with_normalized
+from docloom.operators.normalize import with_text_body
 from docloom.operators.ordinal import with_ordinal
 from docloom.operators.text_markdown import with_pages_markdown, with_paragraphs, with_repaired, with_text_markdown
 from docloom.plans import sql
@@ -63,7 +63,7 @@ def pdf_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a text file: converted, normalised, measured, named, and listed."""
     docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("file_seq"), F.concat("source", F.lit(" Report.txt")).alias("source_file"), "text")
-    made = with_normalized(with_text_markdown(docs))
+    made = with_text_body(docs, keep=False)
     ext = R.column(R.extension, "source_file")
     # all that the list needs of a text is worked out before rows are exchanged
     rows = made.select("file_seq", "source_file", ext.alias("source_type"), R.column(R.quality_warning, "body").alias("warning"), F.octet_length("body").cast("long").alias("markdown_bytes"))

@@ -1,7 +1,12 @@
 import pyarrow as pa
 
-from docloom.operators import batches, text_markdown
+from docloom.operators import batches, normalize, text_markdown
+from docloom.operators.normalize import normalized
+from docloom.operators.text_markdown import page_markdown
 from docloom.operators.textrules import repair_word_breaks
+from docloom.plans import catalogue
+
+DATA = "/root/testdata/sf0.001"
 
 
 def worker(monkeypatch, df, make):
@@ -32,3 +37,15 @@ def test_steps_cover_all_rows():
     for limit in (1, 100, 1000, 10_000):
         assert pa.Table.from_batches(batches.steps(batch, limit)).column(0).to_pylist() == batch.column(0).to_pylist()
     assert list(batches.steps(batch.slice(0, 0))) == []
+
+
+def test_manifest_holds_texts_in_one_worker(spark, monkeypatch):
+    """The list's texts are converted and normalised by one Python step, in bounded parts, and only the body comes back."""
+    plan = catalogue.txt_manifest(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    df = spark.createDataFrame([], "file_seq long, text string")
+    texts = [f"Title {i}\n\n- one  \n- two\n\nsome te xt, " + "more words " * 90 for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(texts)], ["file_seq", "text"])
+    parts = list(worker(monkeypatch, df, lambda x: normalize.with_text_body(x, keep=False))(iter([batch])))
+    assert len(parts) > 3 and {tuple(p.schema.names) for p in parts} == {("file_seq", "body")}
+    assert pa.Table.from_batches(parts).column("body").to_pylist() == [normalized(page_markdown(t)) for t in texts]
