@@ -47,7 +47,7 @@ def reflow_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def txt_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_text_markdown(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "markdown")
+    return with_text_markdown(_documents(spark, sf_dir).select("doc_id", "text"), keep=False).select("doc_id", "markdown")
 
 
 def pdf_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

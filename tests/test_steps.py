@@ -49,3 +49,18 @@ def test_manifest_holds_texts_in_one_worker(spark, monkeypatch):
     parts = list(worker(monkeypatch, df, lambda x: normalize.with_text_body(x, keep=False))(iter([batch])))
     assert len(parts) > 3 and {tuple(p.schema.names) for p in parts} == {("file_seq", "body")}
     assert pa.Table.from_batches(parts).column("body").to_pylist() == [normalized(page_markdown(t)) for t in texts]
+
+
+def test_markdown_query_sends_no_text_back(spark, monkeypatch):
+    """Of a large batch only ids and Markdown come back from the worker, in parts of a step's size."""
+    df, found = spark.createDataFrame([], "doc_id long, text string"), []
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: found.append((f, schema)) or plain(self, f, schema))
+    assert catalogue.txt_to_markdown(spark, DATA).columns == ["doc_id", "markdown"]
+    ((f, schema),) = found
+    assert schema.names == ["doc_id", "markdown"]
+    texts = [None, *(f"Plain line {i}\n\n" + "and more of it " * 60 for i in range(4000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4001)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(f(iter([batch])))
+    assert len(parts) > 3 and {tuple(p.schema.names) for p in parts} == {("doc_id", "markdown")}
+    assert pa.Table.from_batches(parts).column("markdown").to_pylist() == [None if t is None else page_markdown(t) for t in texts]
