@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 
 class Dialect:
     name = ""
@@ -21,6 +23,22 @@ class Dialect:
         """The matches of a pattern of edge characters removed; side and chars say the same without a pattern."""
         return self.sub(x, pattern)
 
+    def drop(self, x: str, pattern: str, chars: str) -> str:
+        """The characters of a class removed; pattern matches one of them, chars names them all."""
+        return self.sub(x, pattern)
+
+    def among(self, x: str, others: str, chars: str) -> str:
+        """How many characters of x are among chars; others matches one of the rest."""
+        return f"length({self.sub(x, others)})"
+
+    def squeeze(self, x: str, pattern: str, chars: str) -> str:
+        """Runs of white space as one blank each; pattern matches one character of it, chars names them all."""
+        return self.sub(x, f"{pattern}+", " ")
+
+    def let(self, value: str, var: str, to: Callable[[str], str]) -> str:
+        """An expression of a value that occurs in it more than once."""
+        return to(value)
+
     def has(self, x: str, pattern: str) -> str:
         raise NotImplementedError
 
@@ -66,6 +84,21 @@ class Spark(Dialect):
     def trim(self, x, pattern, side, chars):
         return f"trim({side} {self.lit(chars)} FROM {x})"  # looks at the edges only
 
+    def drop(self, x, pattern, chars):
+        return f"translate({x}, {self.lit(chars)}, '')"  # a replaced match costs a microsecond, a looked up character much less
+
+    def among(self, x, others, chars):
+        return f"(length({x}) - length({self.drop(x, '', chars)}))"
+
+    def squeeze(self, x, pattern, chars):
+        # with blanks alone left, a tab and a line feed are free to stand for the edges of a run
+        blanks = f"translate({x}, {self.lit(chars)}, {self.lit(' ' * len(chars))})"
+        edges, turned = self.lit("\t\n"), self.lit("\n\t")
+        return f"replace(replace(replace({blanks}, ' ', {edges}), {turned}, ''), {edges}, ' ')"
+
+    def let(self, value, var, to):
+        return f"transform(array({value}), {var} -> {to(var)})[0]"
+
     def has(self, x, pattern):
         return f"regexp_like({x}, {self.lit(pattern)})"
 

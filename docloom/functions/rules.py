@@ -19,7 +19,9 @@ WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 NOT_WS = "[^" + WS[1:]
 WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].zfill(4), WS), c))
 INVISIBLE = r"[\x{feff}\x{200b}\x{200c}\x{200d}\x{2060}\x{ad}]"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 READABLE_PUNCTUATION = ".,;:!?-_()[]{}#*|/\\'\"%&@+=<>"
+READABLE = LETTERS + "0123456789 \n\r\t" + READABLE_PUNCTUATION
 BULLETS = "-*•○▪▫"
 CHAPTER_PREFIXES = ("chapter ", "section ", "part ", "appendix ")
 LABELS = ("contents", "table of contents", "panel", "staff", "disclaimer", "overview", "introduction", "summary of the recommendations", "ies practice guide")
@@ -80,7 +82,7 @@ def blank(d, x):
 
 def words(d, x):
     """White-space separated words; none for a blank text."""
-    return d.keep(d.split(trim(d, d.sub(x, f"{WS}+", " ")), " "), "w", "w <> ''")
+    return d.keep(d.split(trim(d, d.squeeze(x, WS, WS_CHARS)), " "), "w", "w <> ''")
 
 
 def lines(d, x):
@@ -104,12 +106,12 @@ def sample(d, x):
 
 def readable_ratio(d, x):
     s = sample(d, x)
-    return f"CASE WHEN length({x}) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(length({d.sub(s, _readable_class())}) AS DOUBLE) / length({s}) END"
+    return f"CASE WHEN length({x}) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({d.among(s, _readable_class(), READABLE)} AS DOUBLE) / length({s}) END"
 
 
 def word_share(d, ws):
     """Of an array of words, the share that are mostly letters."""
-    letters = f"length({d.sub('w', '[^A-Za-z]')})"
+    letters = d.among("w", "[^A-Za-z]", LETTERS)
     good = d.keep(ws, "w", f"{letters} * 2 >= greatest(4, length(w))")  # two letters at least, and half of the word
     return f"CASE WHEN {d.size(ws)} = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({d.size(good)} AS DOUBLE) / {d.size(ws)} END"
 
@@ -122,7 +124,7 @@ def measured(d, source, text="text"):
     """source with quality_sample, readable, word_like and spaces, each computed once."""
     s = "quality_sample"
     one = f"(SELECT *, {sample(d, text)} AS {s} FROM {source})"
-    two = f"(SELECT *, {d.slice(words(d, s), 1, QUALITY_WORDS)} AS quality_words, {readable_ratio(d, s)} AS readable, CASE WHEN length({s}) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(length({s}) - length({d.sub(s, WS)}) AS DOUBLE) / length({s}) END AS spaces FROM {one} AS g1)"
+    two = f"(SELECT *, {d.slice(words(d, s), 1, QUALITY_WORDS)} AS quality_words, {readable_ratio(d, s)} AS readable, CASE WHEN length({s}) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(length({s}) - length({d.drop(s, WS, WS_CHARS)}) AS DOUBLE) / length({s}) END AS spaces FROM {one} AS g1)"
     return f"(SELECT *, {word_share(d, 'quality_words')} AS word_like FROM {two} AS g2)"
 
 
@@ -139,7 +141,7 @@ def quality_warning(d, x):
 def client_garbage(d, x):
     """The page's own test: first 4000 characters, ratio below 0.55, short texts pass."""
     s = f"substring({x}, 1, 4000)"
-    return f"(length({x}) >= 20 AND CAST(length({d.sub(s, _readable_class())}) AS DOUBLE) / length({s}) < 0.55)"
+    return f"(length({x}) >= 20 AND CAST({d.among(s, _readable_class(), READABLE)} AS DOUBLE) / length({s}) < 0.55)"
 
 
 # ---- blocks of plain text; operands are trimmed lines
