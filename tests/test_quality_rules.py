@@ -53,3 +53,7 @@ def test_same_gate(spark, texts):
 def test_gate_replaces_no_matches(spark):
     """Character by character, replacing matches took most of the time; characters are looked up instead."""
     assert "regexp_replace" not in plan(spark, "garbage_gate")
+
+
+def test_preview_measures_without_replacing(spark):
+    assert "[^A-Za-z" not in plan(spark, "garbage_preview")
