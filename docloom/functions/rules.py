@@ -249,6 +249,12 @@ def block_markdown(d, l="line"):
 
 
 def title_case_ratio(d, x):
+    """Of the words, the share that begin with a capital."""
+    if d.name == "spark":  # counted in the text as it is: a blank before each word, every capital as A
+        n, titled = "(length(s) - length(replace(s, ' ', '')))", "(length(s) - length(replace(s, ' A', ' ')))"
+        single = f"rtrim(concat(' ', {trim(d, d.squeeze(x, WS, WS_CHARS))}))"
+        share = f"CASE WHEN s = '' THEN CAST(0 AS DOUBLE) ELSE CAST({titled} AS DOUBLE) / {n} END"
+        return d.let(f"translate({single}, {d.lit(LETTERS[:26])}, {d.lit('A' * 26)})", "s", lambda _: share)
     ws = words(d, x)
     return f"CASE WHEN {d.size(ws)} = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({d.size(d.keep(ws, 'w', d.has('w', '^[A-Z]')))} AS DOUBLE) / {d.size(ws)} END"
 
