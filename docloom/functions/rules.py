@@ -117,7 +117,7 @@ def word_share(d, ws):
 
 
 def word_like_ratio(d, x):
-    return word_share(d, d.slice(words(d, x), 1, QUALITY_WORDS))
+    return d.let(d.slice(words(d, x), 1, QUALITY_WORDS), "ws", lambda ws: word_share(d, ws))
 
 
 def measured(d, source, text="text"):

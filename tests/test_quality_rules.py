@@ -35,7 +35,7 @@ def plan(spark, name):
     return catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("rule", [R.readable_ratio, R.client_garbage, R.words, R.title_case_ratio])
+@pytest.mark.parametrize("rule", [R.readable_ratio, R.client_garbage, R.words, R.title_case_ratio, R.word_like_ratio])
 def test_same_measures(spark, texts, rule):
     got, want = both(spark, texts, rule)
     assert got == want
@@ -63,3 +63,9 @@ def test_title_case_splits_lines_alone(spark):
     """Words are counted in the line as it is; they were split three times, and their capitals matched one by one."""
     shown = plan(spark, "title_case_ratio")
     assert shown.count("split(") == 1 and "RLIKE" not in shown and "regexp" not in shown
+
+
+def test_word_like_splits_a_text_once(spark):
+    """The words occur three times in the rule, and were split as often."""
+    shown = plan(spark, "word_like_ratio")
+    assert shown.count("split(") == 1 and "regexp" not in shown
