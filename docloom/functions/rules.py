@@ -172,6 +172,9 @@ def section_number(d, l):
 
 
 def all_caps(d, l):
+    if d.name == "spark":  # most lines end at their first small letter
+        few = d.has(l, r"^(?:[^\p{L}]*+\p{L}){3,80}+[^\p{L}]*+\z")
+        return f"(NOT {d.has(l, '[\\p{L}&&[^\\p{Lu}]]')} AND {few} AND NOT {d.has(l, '[.]$')})"
     letters, capitals = f"length({d.sub(l, '[^\\p{L}]')})", f"length({d.sub(l, '[^\\p{Lu}]')})"
     return f"({letters} BETWEEN 3 AND 80 AND {letters} = {capitals} AND NOT {d.has(l, '[.]$')})"
 
