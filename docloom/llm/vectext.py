@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import ctypes
 import hashlib
 import sys
 import unicodedata
@@ -13,8 +14,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from docloom.operators.batches import give_back
-
 #: Bytes of text that one step holds; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -60,7 +59,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at, base = to, int(ends[to - 1])
-    give_back()
+    _give_back()
 
 
 def gives_back(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -69,11 +68,28 @@ def gives_back(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _kept.clear()
         yield from step(batches)
-        give_back()
+        _give_back()
 
     return run
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        return lambda _: 0
+
+
+def _trim() -> None:
+    _libc()(0)
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes end to end, and the n + 1 offsets of the texts in them; null counts as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
